@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +56,27 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Gives this package's source to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="keyloom-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*")):
+                if p.is_file() and "__pycache__" not in p.parts:
+                    z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+    return spark
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with this package at hand on the executors."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)
