@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import slices
 from keyloom.operators.grouping import numbered
-from keyloom.plans.workspace import stored
+from keyloom.plans.workspace import arrow_map, stored
 
 CAPACITY = 2048
 END = 0  # the id after each document
@@ -133,7 +133,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, id_
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, PIECES)
 
 
 Plan = list[tuple[tuple[int, ...], int]]  # (lengths of a bin, number of such bins)
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, buckets:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "__number", buckets=buckets)
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return arrow_map(ranked, place, f"{PIECES}, sequence_id long, offset long")
 
 
 def default_vocabulary() -> str:
