@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, ngram_jaccard_join
+from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, mixture_language, ngram_jaccard_join
 
 QUERIES = {
+    "op8_mixture_language": mixture_language.query,
     "op5_boosted_quality": boosted_quality.query,
     "op3_ngram_jaccard_join": ngram_jaccard_join.query,
     "op9_best_fit_packing": best_fit_packing.query,
