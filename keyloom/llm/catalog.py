@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, mixture_language, ngram_jaccard_join
+from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, mixture_language, ngram_jaccard_join, trie_token_counts
 
 QUERIES = {
+    "op7_trie_token_counts": trie_token_counts.query,
     "op8_mixture_language": mixture_language.query,
     "op5_boosted_quality": boosted_quality.query,
     "op3_ngram_jaccard_join": ngram_jaccard_join.query,
