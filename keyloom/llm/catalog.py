@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
+from keyloom.llm import best_fit_packing, boosted_quality, decision_list, exact_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
 
 QUERIES = {
+    "op1_decision_list": decision_list.query,
     "op2_pfair_mixing": pfair_mixing.query,
     "op7_trie_token_counts": trie_token_counts.query,
     "op8_mixture_language": mixture_language.query,
