@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import best_fit_packing, boosted_quality, decision_list, exact_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
+from keyloom.llm import best_fit_packing, boosted_quality, chat_format, decision_list, exact_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
 
 QUERIES = {
+    "op6_chat_format": chat_format.query,
     "op1_decision_list": decision_list.query,
     "op2_pfair_mixing": pfair_mixing.query,
     "op7_trie_token_counts": trie_token_counts.query,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLE_SQL = {
+    "op6_chat_format": chat_format.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
