@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.llm import best_fit_packing, boosted_quality, chat_format, decision_list, exact_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
+from keyloom.llm import best_fit_packing, boosted_quality, chat_format, decision_list, exact_dedup, line_dedup, mixture_language, ngram_jaccard_join, pfair_mixing, trie_token_counts
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.query,
     "op6_chat_format": chat_format.query,
     "op1_decision_list": decision_list.query,
     "op2_pfair_mixing": pfair_mixing.query,
