@@ -10,7 +10,7 @@ shingles, so it shares one of the first |A| - ceil(t|A|) + 1 in the order; a bou
 is replicated to exactly these regions, and no link can be missed.
 
 Inside a region a pair is a candidate if its sizes and the shingles left behind the pivot still
-allow the needed overlap. Regions where that leaves few pairs are done. A crowded region takes
+allow the needed overlap, and if it meets in as many regions as its sizes demand. A crowded region takes
 documents as pivots, joins everybody to them first, and is joined again (exactly) only between
 the components that the links found so far leave apart: within a component nothing more
 can be learnt, so a group of n copies costs about n comparisons.
@@ -33,11 +33,12 @@ from keyloom.operators.grouping import salt, salt_mask, salts_of
 from keyloom.plans.workspace import arrow_map, stored
 
 WIDTH, NUMER, DENOM = 5, 75, 100  # words in a shingle; similarity of at least NUMER / DENOM
-BITS = 18
+BITS = 20
 CHUNK = 4096
-CROWD, PER_ENTRY, PIVOTS = 64, 8, 3  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
+CROWD, PER_ENTRY, PIVOTS = 8, 4, 2  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
 ENTRY = np.dtype([("s", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 ENTRIES_A_TASK = 2_000_000
+TILE = 2048  # texts of one block of candidates
 U = np.uint64
 
 
@@ -48,11 +49,11 @@ def _sets(column, width: int):
 
 
 def _fingerprint(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits for each set; together with the size they stand for the set."""
+    """64 bits for each set, of its shingles and its size."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values ^ (values >> U(29))) * U(0xBF58476D1CE4E5B9), dtype=np.uint64, out=total[1:])
     x = total[offsets[1:]] - total[offsets[:-1]]
-    return (x ^ (x >> U(32))) * U(0x94D049BB133111EB)
+    return (x ^ (x >> U(32)) ^ np.diff(offsets).astype(np.uint64)) * U(0x94D049BB133111EB)
 
 
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
@@ -75,7 +76,7 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
         some = [i for i in range(0, 1 << bits, step) if counts[i : i + step].any()]
         k = len(some)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i // step for i in some], pa.int32()), pa.array([counts[i : i + step].astype("<i8").tobytes() for i in some], pa.binary())],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i // step for i in some], pa.int32()), pa.array([counts[i : i + step].astype("<u4").tobytes() for i in some], pa.binary())],
             names=["doc_id", "n", "fp", "chunk", "counts"],
         )
 
@@ -89,9 +90,9 @@ def _ranks(scan: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(c, "<i8")
+                own = np.frombuffer(c, "<u4").astype(np.int64)
                 total[k] = total[k] + own if k in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
     counts, step = np.zeros(1 << bits, np.int64), min(CHUNK, 1 << bits)
     rows = scan.filter("chunk is not null").select("chunk", "counts")
@@ -155,8 +156,12 @@ def _fits(n, m, i, j, numer: int, denom: int):
     return (denom * small >= numer * large) & (np.minimum(n - i, m - j) >= least_overlap(n, m, numer, denom))
 
 
-def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int, denom: int, chunk: int = 2_000_000):
-    """Candidate pairs (indices into rows) of all regions; a region is rows[first : first + size]."""
+def _fit(p: np.ndarray, q: np.ndarray, numer: int, denom: int) -> np.ndarray:
+    return _fits(*(x.astype(np.int64) for x in (p["n"], q["n"], p["pos"], q["pos"])), numer, denom)
+
+
+def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int, denom: int, chunk: int = 1_000_000):
+    """(x, y, do the places fit?) for all pairs of rows[first : first + size], sizes permitting."""
     left = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     partners = np.repeat(first + size, size) - left - 1
     done = np.concatenate([[0], np.cumsum(partners)])
@@ -165,31 +170,69 @@ def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int,
         b = max(a + 1, int(np.searchsorted(done, done[a] + chunk, "right")) - 1)
         x = np.repeat(left[a:b], partners[a:b])
         y = x + 1 + np.arange(len(x)) - np.repeat(done[a:b] - done[a], partners[a:b])
-        p, q = rows[x], rows[y]
-        ok = _fits(p["n"].astype(np.int64), q["n"].astype(np.int64), p["pos"].astype(np.int64), q["pos"].astype(np.int64), numer, denom)
-        yield x[ok], y[ok]
+        n, m = rows["n"][x].astype(np.int64), rows["n"][y].astype(np.int64)
+        ok = denom * np.minimum(n, m) >= numer * np.maximum(n, m)
+        x, y = x[ok], y[ok]
+        yield x, y, _fit(rows[x], rows[y], numer, denom)
         a = b
 
 
 PAIR = "fp_a long, n_a long, fp_b long, n_b long"
+PASSED = 1 << 30  # counts of pairs that go to verification as they are
 
 
-def _pair_batch(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs, the smaller (fp, n) first."""
-    pair = np.empty(len(p), [("fa", "<u8"), ("na", "<u4"), ("fb", "<u8"), ("nb", "<u4")])
-    turn = (p["fp"] > q["fp"]) | ((p["fp"] == q["fp"]) & (p["n"] > q["n"]))
-    for x, y, k in (("fa", "fb", "fp"), ("na", "nb", "n")):
-        pair[x], pair[y] = np.where(turn, q[k], p[k]), np.where(turn, p[k], q[k])
-    pair = np.unique(pair)
-    return pa.RecordBatch.from_arrays([pa.array(pair["fa"].astype(np.int64)), pa.array(pair["na"].astype(np.int64)), pa.array(pair["fb"].astype(np.int64)), pa.array(pair["nb"].astype(np.int64))], names=["fp_a", "n_a", "fp_b", "n_b"])
+def _ints(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x.astype(np.int64)) for x in arrays]
+
+
+class _Counted:
+    """Pairs of a task, each once, with how often they met and whether they ever fitted."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        _, self.first, self.set_of = np.unique(rows["fp"], return_index=True, return_inverse=True)
+        self.code, self.count, self.fit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.held, self.n_held = [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, fit: np.ndarray, count: int = 1) -> None:
+        a, b = self.set_of[x].astype(np.int64), self.set_of[y].astype(np.int64)
+        self.held.append(((np.minimum(a, b) << 32) | np.maximum(a, b), np.full(len(a), count), fit))
+        self.n_held += len(a)
+        if self.n_held > 4_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        code, count, fit = (np.concatenate(c) for c in zip((self.code, self.count, self.fit), *self.held, strict=True))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        if len(first):
+            self.code, self.count, self.fit = code[first], np.add.reduceat(count[order], first), np.logical_or.reduceat(fit[order], first)
+        self.held, self.n_held = [], 0
+
+    def batch(self) -> list[pa.Array]:
+        self.settle()
+        p, q = self.rows[self.first[self.code >> 32]], self.rows[self.first[self.code & 0xFFFFFFFF]]
+        return [*_ints(p["fp"], p["n"], q["fp"], q["n"], self.count), pa.array(self.fit)]
 
 
 def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Candidate pairs, and (in ``crowd``) the entries of regions that are to be joined again."""
-    schema = f"{PAIR}, crowd binary"
+    """What the regions give, by ``kind``.
+
+    0: pairs that met in a calm region, with the number of meetings and whether the places of one
+    meeting fit, and pairs (count ``PASSED``) to be verified anyway; 1: for each set (fp_a) the
+    number of its crowded regions; 2: the entries of a region that is to be joined again.
+    """
+    names = ["kind", "fp_a", "n_a", "fp_b", "n_b", "met", "fit", "crowd"]
+
+    def batch(kind: int, *columns: pa.Array, crowd: pa.Array | None = None) -> pa.RecordBatch:
+        k = len(columns[0]) if columns else len(crowd)
+        types = [*[pa.int64()] * 5, pa.bool_()]
+        own = [*columns, *[pa.nulls(k, t) for t in types[len(columns) :]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *own, pa.nulls(k, pa.binary()) if crowd is None else crowd], names=names)
 
     def run(batches):
-        blobs = [c.as_buffer() for batch in batches for c in batch.column(0)]
+        blobs = [c.as_buffer() for b in batches for c in b.column(0)]
         if not blobs:
             return
         rows = np.concatenate([np.frombuffer(b, ENTRY) for b in blobs])
@@ -200,37 +243,68 @@ def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
         rows = rows[new]
         first = np.flatnonzero(np.concatenate([[True], rows["s"][1:] != rows["s"][:-1]]))
         size = np.diff(np.append(first, len(rows)))
-        lefts, rights, crowds = [], [], []
-        calm = (size > 1) & (size <= CROWD)
-        for x, y in _pairs_of(rows, first[calm], size[calm], numer, denom):
-            lefts.append(x)
-            rights.append(y)
-        for a, k in zip(first[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
-            x, y, full = [], [], False
-            for p, q in _pairs_of(rows, np.array([a]), np.array([k]), numer, denom, 500_000):
-                x.append(p)
-                y.append(q)
-                if sum(map(len, x)) > PER_ENTRY * k:
-                    full = True
+        alone = np.repeat(size == 1, size)
+        rows = rows[~alone]
+        first, size = np.cumsum(size[size > 1]) - size[size > 1], size[size > 1]
+        if not len(rows):
+            return
+        pairs = _Counted(rows)
+        calm = size <= CROWD
+        for x, y, fit in _pairs_of(rows, first[calm], size[calm], numer, denom):
+            pairs.add(x, y, fit)
+        crowded = rows[np.repeat(~calm, size)]
+        for a, k in zip(first[~calm].tolist(), size[~calm].tolist(), strict=True):
+            found, full = [], 0
+            for x, y, fit in _pairs_of(rows, np.array([a]), np.array([k]), numer, denom, 500_000):
+                found.append((x[fit], y[fit]))
+                full += int(fit.sum())
+                if full > PER_ENTRY * k:
                     break
-            if full:
-                own = np.arange(a, a + k)
-                x, y = [], []
+            if full > PER_ENTRY * k:
+                own, found = np.arange(a, a + k), []
                 for pivot in own[np.lexsort((rows["fp"][own], rows["pos"][own]))[:PIVOTS]].tolist():
-                    p, q = rows[pivot : pivot + 1], rows[own]
-                    ok = _fits(p["n"].astype(np.int64), q["n"].astype(np.int64), p["pos"].astype(np.int64), q["pos"].astype(np.int64), numer, denom) & (own != pivot)
-                    x.append(np.full(int(ok.sum()), pivot))
-                    y.append(own[ok])
-                crowds.append(rows[a : a + k].tobytes())
-            lefts += x
-            rights += y
-        pairs = _pair_batch(rows[np.concatenate(lefts)], rows[np.concatenate(rights)]) if lefts else None
-        if pairs is not None and pairs.num_rows:
-            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(pairs.num_rows, pa.binary())], names=["fp_a", "n_a", "fp_b", "n_b", "crowd"])
-        for c in crowds:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([c], pa.binary())], names=["fp_a", "n_a", "fp_b", "n_b", "crowd"])
-
-    return arrow_map(prefixes, run, schema)
+                    fit = _fit(rows[pivot : pivot + 1], rows[own], numer, denom) & (own != pivot)
+                    found.append((np.full(int(fit.sum()), pivot), own[fit]))
+                yield batch(2, crowd=pa.array([rows[a : a + k].tobytes()], pa.binary()))
+            for x, y in found:
+                pairs.add(x, y, np.ones(len(x), bool), PASSED)
+        out = pairs.batch()
+        if len(out[0]):
+            yield batch(0, *out)
+        if len(crowded):
+            fp, n = np.unique(crowded["fp"], return_counts=True)
+            none = pa.nulls(len(fp), pa.int64())
+            yield batch(1, *_ints(fp), none, none, none, *_ints(n))
+
+    return arrow_map(prefixes, run, f"kind int, {PAIR}, met long, fit boolean, crowd binary")
+
+
+def _candidates(found: DataFrame, numer: int, denom: int) -> DataFrame:
+    """The pairs whose meetings suffice.
+
+    Two linked sets share ``least_overlap`` shingles or more. Outside their windows lie the last ones
+    of these in the order, at most as many as the larger part that one of the windows leaves out; so
+    they meet at least ``least`` times, and the first time their places fit. Meetings in
+    crowded regions are not counted pair by pair, but each set has at most as many as it has
+    crowded regions; pairs that meet only there are found when those are joined again.
+    """
+    pairs = found.filter("kind = 0").groupBy("fp_a", "n_a", "fp_b", "n_b").agg(F.sum("met").alias("met"), F.max("fit").alias("fit"))
+    crowded = found.filter("kind = 1").groupBy("fp_a").agg(F.sum("met").alias("crowded"))
+    if crowded.isEmpty():
+        pairs = pairs.withColumn("more", F.lit(0))
+    else:
+        for k in "ab":
+            pairs = pairs.join(crowded.select(F.col("fp_a").alias(f"fp_{k}"), F.col("crowded").alias(f"crowded_{k}")), f"fp_{k}", "left")
+        pairs = pairs.withColumn("more", F.least(F.coalesce("crowded_a", F.lit(0)), F.coalesce("crowded_b", F.lit(0))))
+    overlap = f"ceil({numer} * (n_a + n_b) / {numer + denom})"
+    least = f"{overlap} - greatest(ceil({numer} * n_a / {denom}), ceil({numer} * n_b / {denom})) + 1"
+    return pairs.filter(f"met + more >= {least} and (fit or more > 0)").select("fp_a", "n_a", "fp_b", "n_b")
+
+
+def _pair_batch(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    turn = p["fp"] > q["fp"]
+    a, b = np.where(turn, q, p), np.where(turn, p, q)
+    return pa.RecordBatch.from_arrays(_ints(a["fp"], a["n"], b["fp"], b["n"]), names=["fp_a", "n_a", "fp_b", "n_b"])
 
 
 def _members(crowds: DataFrame) -> DataFrame:
@@ -285,35 +359,49 @@ def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> D
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, numer: int, denom: int) -> DataFrame:
-    """The pairs (a, b: doc ids of representatives) whose whole sets are similar enough."""
+    """The pairs (a, b: doc ids of representatives) whose whole sets are similar enough.
+
+    Candidates that hang together are verified in one place, so that a text is moved once for
+    all its pairs. Where more than ``TILE`` of them hang together, they are dealt into blocks, and
+    each pair of blocks that holds candidates is a place (a tile) of its own.
+    """
     for k in "ab":
         pairs = pairs.join(reps.select(F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("rep").alias(k)), [f"fp_{k}", f"n_{k}"])
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def own(batches):
-        for batch in batches:
-            out = []
-            for _, values, offsets in _sets(batch.column(1), width):
-                out += [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "set"])
-
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(arrow_map(texts, own, "doc_id long, set binary"), "sets")
+    together = connected_components(pairs)
+    blocks = together.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+    placed = pairs.join(together, F.col("a") == F.col("node")).join(blocks, "component")
+    at = [F.pmod(F.xxhash64(k), F.col("blocks")) for k in "ab"]
+    placed = stored(placed.select("a", "b", F.xxhash64("component", F.least(*at), F.greatest(*at)).alias("tile")), "tiles")
+    needed = placed.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(needed, "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.unionByName(placed.withColumn("text", F.lit(None).cast("string"))).repartition("tile").sortWithinPartitions("tile", "b")
 
     def verify(batches):
+        tile, sets = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(denom * common >= numer * (len(both) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    return stored(arrow_map(both.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
+            tiles, ones, others = (batch.column(i).to_pylist() for i in range(3))
+            found: list[tuple[int, int]] = []
+            own: dict[int, np.ndarray] = {}
+            for part, values, offsets in _sets(batch.column(3), width):
+                for i in range(part.n_docs):
+                    if others[part.first + i] is None:
+                        own[part.first + i] = values[offsets[i] : offsets[i + 1]].copy()
+            for i, (t, x, y) in enumerate(zip(tiles, ones, others, strict=True)):
+                if t != tile:
+                    tile, sets = t, {}
+                if y is None:
+                    sets[x] = own[i]
+                else:
+                    both = np.concatenate([sets[x], sets[y]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if denom * common >= numer * (len(both) - common):
+                        found.append((x, y))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return stored(arrow_map(rows, verify, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numer: int = NUMER, denom: int = DENOM, bits: int = BITS, salts: int = 64) -> DataFrame:
@@ -341,9 +429,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     prefixes = _prefixes(docs.filter("doc_id is not null"), ranks, width, bits, numer, denom, 8 * tasks)
     found = stored(_regions(prefixes.repartition(tasks, "part").select("entries"), numer, denom), "regions")
 
-    links = _links(found.filter("crowd is null").select("fp_a", "n_a", "fp_b", "n_b").distinct(), reps, docs, width, numer, denom)
+    links = _links(_candidates(found, numer, denom), reps, docs, width, numer, denom)
     components = connected_components(links)
-    crowds = found.filter("crowd is not null")
+    crowds = found.filter("kind = 2")
     if not crowds.isEmpty():
         labels = reps.join(components, F.col("rep") == F.col("node"), "left").select("n", "fp", F.coalesce("component", "rep").alias("component"))
         again = _between(_members(crowds).join(labels, ["n", "fp"]), numer, denom)
