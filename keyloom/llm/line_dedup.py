@@ -21,6 +21,7 @@ from keyloom.operators.components import connected_components
 from keyloom.plans.workspace import stored
 
 EDITS, LEAST_CHARS = 2, 24
+BLOCK, LONGEST_BIT = 32, 30  # columns of the table at a time; strings have fewer than 2**31 characters
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,7 +65,8 @@ def distance_sql(edits: int, x: str = "x", y: str = "y") -> str:
     row j - edits + i, so the band moves down a row with each column and 2 * edits + 1 bits
     suffice for any length. ``vp`` and ``vn`` mark vertical differences of +1 and -1. The score
     follows the lowest diagonal of the band until that reaches the last row, then this row.
-    The sizes must differ by at most ``edits`` and exceed it.
+    ``x`` must be longer than ``edits``, ``y`` not longer than ``x`` and shorter by ``edits`` at most.
+    Columns go in blocks; once the whole band exceeds ``edits``, later blocks are passed over.
     """
     c, top, full = edits, 2 * edits, (1 << (2 * edits + 1)) - 1
     m, n = f"size({x})", f"size({y})"
@@ -75,7 +77,38 @@ def distance_sql(edits: int, x: str = "x", y: str = "y") -> str:
     score = f"s.score + if(j + {c} <= {m}, if((d & {1 << top}) = 0, 1, 0), (shiftright(h, {row}) & 1) - (shiftright((d & s.vp), {row}) & 1))"
     new = f"named_struct('vp', (((d & s.vp) | (~(shiftright(d, 1) | h))) & {full}), 'vn', (shiftright(d, 1) & h), 'score', {score})"
     step = f"transform(array({eq}), e -> transform(array({d0}), d -> transform(array({hp}), h -> {new})[0])[0])[0]"
-    return f"aggregate(sequence(1, {n}), named_struct('vp', {(full << c) & full}, 'vn', 0, 'score', {c}), (s, j) -> {step}, s -> s.score)"
+    dead = f"r.score - bit_count(r.vp) > {c}"
+    block = f"aggregate(sequence(b * {BLOCK} + 1, least({n}, (b + 1) * {BLOCK})), r, (s, j) -> {step})"
+    return f"aggregate(sequence(0, ({n} - 1) div {BLOCK}), named_struct('vp', {(full << c) & full}, 'vn', 0, 'score', {c}), (r, b) -> if({dead}, r, {block}), r -> r.score)"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that computes ``value`` once and uses it in ``body`` by name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _common(p: str, q: str) -> str:
+    """SQL for the length of the common beginning of two strings, by bisection."""
+    same = f"step <= least(length({p}), length({q})) - k and substring({p}, k + 1, step) = substring({q}, k + 1, step)"
+    return f"aggregate(transform(sequence(0, {LONGEST_BIT}), i -> shiftleft(1, {LONGEST_BIT} - i)), 0, (k, step) -> if({same}, k + step, k))"
+
+
+def within_sql(edits: int, p: str = "p", q: str = "q") -> str:
+    """SQL: are two strings, whose lengths differ by at most ``edits``, within ``edits`` edits?
+
+    What both begin and end with is left out of the table: that changes no edit distance.
+    """
+    table = f"if(greatest(length(u.p), length(u.q)) <= {edits}, true, {distance_sql(edits, 'v.x', 'v.y')} <= {edits})"
+    arrays = "if(length(u.p) >= length(u.q), named_struct('x', split(u.p, ''), 'y', split(u.q, '')), named_struct('x', split(u.q, ''), 'y', split(u.p, '')))"
+    middle = _let("named_struct('p', substring(t.p, l + 1), 'q', substring(t.q, l + 1))", "u", _let(arrays, "v", table))
+    tails = f"named_struct('p', reverse(substring({p}, f + 1)), 'q', reverse(substring({q}, f + 1)))"
+    return _let(_common(p, q), "f", _let(tails, "t", _let(_common("t.p", "t.q"), "l", middle)))
+
+
+def within(pairs: DataFrame, edits: int) -> DataFrame:
+    """The rows of ``pairs`` (p, q) whose strings are within ``edits`` edits."""
+    near = f"if(abs(length(p) - length(q)) <= {edits}, {within_sql(edits)}, false)"
+    return pairs.filter(near)
 
 
 def _eligible(lines: DataFrame, least_chars: int) -> DataFrame:
@@ -92,8 +125,8 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     needed = met.select("h").union(met.select("g")).distinct()
     texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed, "h", "left_semi").distinct(), "lines")
     both = met.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
-    both = both.filter(F.abs(F.length("p") - F.length("q")) <= edits).select(_digest("p").alias("a"), _digest("q").alias("b"), F.split("p", "").alias("x"), F.split("q", "").alias("y"))
-    return stored(both.filter(f"{distance_sql(edits)} <= {edits}").select("a", "b"), "linked")
+    near = within(both.select("p", "q"), edits)
+    return stored(near.select(_digest("p").alias("a"), _digest("q").alias("b")), "linked")
 
 
 def _digest(line: str) -> Column:
