@@ -35,7 +35,7 @@ from keyloom.plans.workspace import arrow_map, stored
 WIDTH, NUMER, DENOM = 5, 75, 100  # words in a shingle; similarity of at least NUMER / DENOM
 BITS = 20
 CHUNK = 4096
-CROWD, PER_ENTRY, PIVOTS = 8, 4, 2  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
+CROWD, PER_ENTRY, PIVOTS = 4, 2, 2  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
 ENTRY = np.dtype([("s", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 ENTRIES_A_TASK = 2_000_000
 TILE = 2048  # texts of one block of candidates
@@ -108,6 +108,11 @@ def least_overlap(n, m, numer: int = NUMER, denom: int = DENOM):
     return -(-(numer * (n + m)) // (numer + denom))
 
 
+def least_meetings(n, m, numer: int = NUMER, denom: int = DENOM):
+    """In how many regions linked sets of these sizes meet at least."""
+    return least_overlap(n, m, numer, denom) - np.maximum(-(-numer * n // denom), -(-numer * m // denom)) + 1
+
+
 def _prefixes(docs: DataFrame, ranks, width: int, bits: int, numer: int, denom: int, parts: int) -> DataFrame:
     """(part, entries): each set's entries for the regions in its window, by part of the regions."""
 
@@ -178,7 +183,6 @@ def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int,
 
 
 PAIR = "fp_a long, n_a long, fp_b long, n_b long"
-PASSED = 1 << 30  # counts of pairs that go to verification as they are
 
 
 def _ints(*arrays: np.ndarray) -> list[pa.Array]:
@@ -219,9 +223,9 @@ class _Counted:
 def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
     """What the regions give, by ``kind``.
 
-    0: pairs that met in a calm region, with the number of meetings and whether the places of one
-    meeting fit, and pairs (count ``PASSED``) to be verified anyway; 1: for each set (fp_a) the
-    number of its crowded regions; 2: the entries of a region that is to be joined again.
+    0: pairs, with the number of their meetings in calm regions and whether the places of one
+    meeting fit; 1: for each set (fp_a) the number of its crowded regions; 2: the entries of a region
+    that is to be joined again.
     """
     names = ["kind", "fp_a", "n_a", "fp_b", "n_b", "met", "fit", "crowd"]
 
@@ -267,7 +271,7 @@ def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
                     found.append((np.full(int(fit.sum()), pivot), own[fit]))
                 yield batch(2, crowd=pa.array([rows[a : a + k].tobytes()], pa.binary()))
             for x, y in found:
-                pairs.add(x, y, np.ones(len(x), bool), PASSED)
+                pairs.add(x, y, np.ones(len(x), bool), 0)  # counted with the crowded regions
         out = pairs.batch()
         if len(out[0]):
             yield batch(0, *out)
@@ -297,7 +301,7 @@ def _candidates(found: DataFrame, numer: int, denom: int) -> DataFrame:
             pairs = pairs.join(crowded.select(F.col("fp_a").alias(f"fp_{k}"), F.col("crowded").alias(f"crowded_{k}")), f"fp_{k}", "left")
         pairs = pairs.withColumn("more", F.least(F.coalesce("crowded_a", F.lit(0)), F.coalesce("crowded_b", F.lit(0))))
     overlap = f"ceil({numer} * (n_a + n_b) / {numer + denom})"
-    least = f"{overlap} - greatest(ceil({numer} * n_a / {denom}), ceil({numer} * n_b / {denom})) + 1"
+    least = f"{overlap} - greatest(ceil({numer} * n_a / {denom}), ceil({numer} * n_b / {denom})) + 1"  # least_meetings
     return pairs.filter(f"met + more >= {least} and (fit or more > 0)").select("fp_a", "n_a", "fp_b", "n_b")
 
 
@@ -320,14 +324,19 @@ def _members(crowds: DataFrame) -> DataFrame:
 
 
 def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> DataFrame:
-    """Candidate pairs of different components, region by region (s, fp, n, pos, component)."""
+    """Candidate pairs of different components, region by region (s, fp, n, pos, component, crowded).
+
+    Pairs that also met in calm regions were judged before, so only those are left whose crowded
+    regions alone are enough.
+    """
 
-    def pairs(s: np.ndarray, rows: np.ndarray, comp: np.ndarray):
+    def pairs(rows: np.ndarray, comp: np.ndarray, crowded: np.ndarray):
         for a in range(0, len(rows), block):
             for b in range(a, len(rows), block):
                 p, q = rows[a : a + block], rows[b : b + block]
                 n, m, i, j = (x.astype(np.int64) for x in (p["n"], q["n"], p["pos"], q["pos"]))
                 ok = _fits(n[:, None], m[None], i[:, None], j[None], numer, denom) & (comp[a : a + block, None] != comp[None, b : b + block])
+                ok &= np.minimum(crowded[a : a + block, None], crowded[None, b : b + block]) >= least_meetings(n[:, None], m[None], numer, denom)
                 x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
                 if len(x):
                     yield _pair_batch(p[x], q[y])
@@ -336,11 +345,11 @@ def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> D
         held: list[tuple[np.ndarray, ...]] = []
 
         def region():
-            s, fp, n, pos, comp = (np.concatenate(c) for c in zip(*held, strict=True))
+            s, fp, n, pos, comp, crowded = (np.concatenate(c) for c in zip(*held, strict=True))
             if (comp != comp[0]).any():
                 rows = np.empty(len(s), ENTRY)
                 rows["s"], rows["fp"], rows["n"], rows["pos"] = s.astype(np.uint64), fp.astype(np.uint64), n, pos
-                yield from pairs(s, rows, comp)
+                yield from pairs(rows, comp, crowded)
 
         for batch in batches:
             s, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -355,7 +364,7 @@ def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> D
         if held:
             yield from region()
 
-    return arrow_map(members.repartition("s").sortWithinPartitions("s").select("s", "fp", "n", "pos", "component"), run, PAIR)
+    return arrow_map(members.repartition("s").sortWithinPartitions("s").select("s", "fp", "n", "pos", "component", "crowded"), run, PAIR)
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, numer: int, denom: int) -> DataFrame:
@@ -374,7 +383,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, numer
     at = [F.pmod(F.xxhash64(k), F.col("blocks")) for k in "ab"]
     placed = stored(placed.select("a", "b", F.xxhash64("component", F.least(*at), F.greatest(*at)).alias("tile")), "tiles")
     needed = placed.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    texts = docs.join(needed.hint("merge"), "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = texts.unionByName(placed.withColumn("text", F.lit(None).cast("string"))).repartition("tile").sortWithinPartitions("tile", "b")
 
     def verify(batches):
@@ -434,7 +443,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     crowds = found.filter("kind = 2")
     if not crowds.isEmpty():
         labels = reps.join(components, F.col("rep") == F.col("node"), "left").select("n", "fp", F.coalesce("component", "rep").alias("component"))
-        again = _between(_members(crowds).join(labels, ["n", "fp"]), numer, denom)
+        crowded = found.filter("kind = 1").groupBy(F.col("fp_a").alias("fp")).agg(F.sum("met").alias("crowded"))
+        again = _between(_members(crowds).join(labels, ["n", "fp"]).join(crowded, "fp"), numer, denom)
         more = _links(again.distinct(), reps, docs, width, numer, denom)
         components = connected_components(links.unionByName(more))
     labelled = reps.join(components, F.col("rep") == F.col("node"), "left").select("n", "fp", "mask", F.coalesce("component", "rep").alias("component_id"))
