@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C13)  # 3 modulo 8
 _SPACE = np.zeros(256, bool)

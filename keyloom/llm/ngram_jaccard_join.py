@@ -165,7 +165,7 @@ def _fit(p: np.ndarray, q: np.ndarray, numer: int, denom: int) -> np.ndarray:
     return _fits(*(x.astype(np.int64) for x in (p["n"], q["n"], p["pos"], q["pos"])), numer, denom)
 
 
-def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int, denom: int, chunk: int = 1_000_000):
+def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int, denom: int, chunk: int = 250_000):
     """(x, y, do the places fit?) for all pairs of rows[first : first + size], sizes permitting."""
     left = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     partners = np.repeat(first + size, size) - left - 1
@@ -185,6 +185,9 @@ def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int,
 PAIR = "fp_a long, n_a long, fp_b long, n_b long"
 
 
+MET = np.dtype([("fa", "<u8"), ("fb", "<u8"), ("na", "<u4"), ("nb", "<u4"), ("met", "<u4"), ("fit", "?")])
+
+
 def _ints(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array(x.astype(np.int64)) for x in arrays]
 
@@ -202,7 +205,7 @@ class _Counted:
         a, b = self.set_of[x].astype(np.int64), self.set_of[y].astype(np.int64)
         self.held.append(((np.minimum(a, b) << 32) | np.maximum(a, b), np.full(len(a), count), fit))
         self.n_held += len(a)
-        if self.n_held > 4_000_000:
+        if self.n_held > 1_000_000:
             self.settle()
 
     def settle(self) -> None:
@@ -214,26 +217,30 @@ class _Counted:
             self.code, self.count, self.fit = code[first], np.add.reduceat(count[order], first), np.logical_or.reduceat(fit[order], first)
         self.held, self.n_held = [], 0
 
-    def batch(self) -> list[pa.Array]:
+    def packed(self, parts: int) -> list[tuple[int, bytes]]:
+        """(part, pairs) for the tasks that add the meetings up."""
         self.settle()
         p, q = self.rows[self.first[self.code >> 32]], self.rows[self.first[self.code & 0xFFFFFFFF]]
-        return [*_ints(p["fp"], p["n"], q["fp"], q["n"], self.count), pa.array(self.fit)]
+        out = np.empty(len(p), MET)
+        out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], self.count, self.fit
+        to = ((out["fa"] ^ out["fb"]) % U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        first = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
+        return [(int(to[order[a]]), out[order[a:b]].tobytes()) for a, b in zip(first, [*first[1:], len(out)], strict=True)]
 
 
-def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
+def _regions(prefixes: DataFrame, numer: int, denom: int, parts: int) -> DataFrame:
     """What the regions give, by ``kind``.
 
-    0: pairs, with the number of their meetings in calm regions and whether the places of one
-    meeting fit; 1: for each set (fp_a) the number of its crowded regions; 2: the entries of a region
-    that is to be joined again.
+    0: packed pairs of a part, with the number of their meetings in calm regions and whether the
+    places of one meeting fit; 1: for each set (fp_a) the number of its crowded regions; 2: the
+    entries of a region that is to be joined again.
     """
-    names = ["kind", "fp_a", "n_a", "fp_b", "n_b", "met", "fit", "crowd"]
 
-    def batch(kind: int, *columns: pa.Array, crowd: pa.Array | None = None) -> pa.RecordBatch:
-        k = len(columns[0]) if columns else len(crowd)
-        types = [*[pa.int64()] * 5, pa.bool_()]
-        own = [*columns, *[pa.nulls(k, t) for t in types[len(columns) :]]]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *own, pa.nulls(k, pa.binary()) if crowd is None else crowd], names=names)
+    def batch(kind: int, part=None, fp=None, met=None, packed=None) -> pa.RecordBatch:
+        k = len(fp) if fp is not None else len(packed)
+        columns = [(np.full(k, kind), pa.int32()), (part, pa.int32()), (fp, pa.int64()), (met, pa.int64()), (packed, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(k, t) if c is None else pa.array(c, t) for c, t in columns], names=["kind", "part", "fp_a", "met", "packed"])
 
     def run(batches):
         blobs = [c.as_buffer() for b in batches for c in b.column(0)]
@@ -259,7 +266,7 @@ def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
         crowded = rows[np.repeat(~calm, size)]
         for a, k in zip(first[~calm].tolist(), size[~calm].tolist(), strict=True):
             found, full = [], 0
-            for x, y, fit in _pairs_of(rows, np.array([a]), np.array([k]), numer, denom, 500_000):
+            for x, y, fit in _pairs_of(rows, np.array([a]), np.array([k]), numer, denom, 250_000):
                 found.append((x[fit], y[fit]))
                 full += int(fit.sum())
                 if full > PER_ENTRY * k:
@@ -269,21 +276,39 @@ def _regions(prefixes: DataFrame, numer: int, denom: int) -> DataFrame:
                 for pivot in own[np.lexsort((rows["fp"][own], rows["pos"][own]))[:PIVOTS]].tolist():
                     fit = _fit(rows[pivot : pivot + 1], rows[own], numer, denom) & (own != pivot)
                     found.append((np.full(int(fit.sum()), pivot), own[fit]))
-                yield batch(2, crowd=pa.array([rows[a : a + k].tobytes()], pa.binary()))
+                yield batch(2, packed=[rows[a : a + k].tobytes()])
             for x, y in found:
                 pairs.add(x, y, np.ones(len(x), bool), 0)  # counted with the crowded regions
-        out = pairs.batch()
-        if len(out[0]):
-            yield batch(0, *out)
+        if out := pairs.packed(parts):
+            yield batch(0, part=[k for k, _ in out], packed=[b for _, b in out])
         if len(crowded):
             fp, n = np.unique(crowded["fp"], return_counts=True)
-            none = pa.nulls(len(fp), pa.int64())
-            yield batch(1, *_ints(fp), none, none, none, *_ints(n))
+            yield batch(1, fp=fp.astype(np.int64), met=n.astype(np.int64))
+
+    return arrow_map(prefixes, run, "kind int, part int, fp_a long, met long, packed binary")
+
+
+def _met(found: DataFrame, tasks: int) -> DataFrame:
+    """Each pair once, with the sum of its meetings."""
+
+    def run(batches):
+        blobs = [c.as_buffer() for b in batches for c in b.column(0)]
+        if not blobs:
+            return
+        rows = np.concatenate([np.frombuffer(b, MET) for b in blobs])
+        turn = rows["fa"] > rows["fb"]
+        for x, y in (("fa", "fb"), ("na", "nb")):
+            rows[x], rows[y] = np.where(turn, rows[y], rows[x]), np.where(turn, rows[x], rows[y])
+        rows = rows[np.lexsort((rows["fb"], rows["fa"]))]
+        first = np.flatnonzero(np.concatenate([[True], (rows["fa"][1:] != rows["fa"][:-1]) | (rows["fb"][1:] != rows["fb"][:-1])]))
+        met, fit = np.add.reduceat(rows["met"].astype(np.int64), first), np.logical_or.reduceat(rows["fit"], first)
+        own = rows[first]
+        yield pa.RecordBatch.from_arrays([*_ints(own["fa"], own["na"], own["fb"], own["nb"], met), pa.array(fit)], names=["fp_a", "n_a", "fp_b", "n_b", "met", "fit"])
 
-    return arrow_map(prefixes, run, f"kind int, {PAIR}, met long, fit boolean, crowd binary")
+    return arrow_map(found.filter("kind = 0").select("part", "packed").repartition(tasks, "part").select("packed"), run, f"{PAIR}, met long, fit boolean")
 
 
-def _candidates(found: DataFrame, numer: int, denom: int) -> DataFrame:
+def _candidates(found: DataFrame, numer: int, denom: int, tasks: int) -> DataFrame:
     """The pairs whose meetings suffice.
 
     Two linked sets share ``least_overlap`` shingles or more. Outside their windows lie the last ones
@@ -292,7 +317,7 @@ def _candidates(found: DataFrame, numer: int, denom: int) -> DataFrame:
     crowded regions are not counted pair by pair, but each set has at most as many as it has
     crowded regions; pairs that meet only there are found when those are joined again.
     """
-    pairs = found.filter("kind = 0").groupBy("fp_a", "n_a", "fp_b", "n_b").agg(F.sum("met").alias("met"), F.max("fit").alias("fit"))
+    pairs = _met(found, tasks)
     crowded = found.filter("kind = 1").groupBy("fp_a").agg(F.sum("met").alias("crowded"))
     if crowded.isEmpty():
         pairs = pairs.withColumn("more", F.lit(0))
@@ -320,7 +345,7 @@ def _members(crowds: DataFrame) -> DataFrame:
                 r = np.frombuffer(c.as_buffer(), ENTRY)
                 yield pa.RecordBatch.from_arrays([pa.array(r["s"].astype(np.int64)), pa.array(r["fp"].astype(np.int64)), pa.array(r["n"].astype(np.int64)), pa.array(r["pos"].astype(np.int64))], names=["s", "fp", "n", "pos"])
 
-    return arrow_map(crowds.select("crowd"), run, "s long, fp long, n long, pos long")
+    return arrow_map(crowds.select("packed"), run, "s long, fp long, n long, pos long")
 
 
 def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> DataFrame:
@@ -436,9 +461,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     entries = rows.agg(F.sum(F.expr(f"n - ceil({numer} * n / {denom}) + 1"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // ENTRIES_A_TASK))
     prefixes = _prefixes(docs.filter("doc_id is not null"), ranks, width, bits, numer, denom, 8 * tasks)
-    found = stored(_regions(prefixes.repartition(tasks, "part").select("entries"), numer, denom), "regions")
+    found = stored(_regions(prefixes.repartition(tasks, "part").select("entries"), numer, denom, 8 * tasks), "regions")
 
-    links = _links(_candidates(found, numer, denom), reps, docs, width, numer, denom)
+    links = _links(_candidates(found, numer, denom, tasks), reps, docs, width, numer, denom)
     components = connected_components(links)
     crowds = found.filter("kind = 2")
     if not crowds.isEmpty():
