@@ -69,7 +69,8 @@ class Crosswalk:
 
     def link(self, a: str, b: str, *, force: bool = False) -> tuple[str, str]:
         s, cid, outcome = corrections.link(self.store.read(), a, b, force=force)
-        self.store.publish(s)
+        if outcome != "already_linked":
+            self.store.publish(s)
         return cid, outcome
 
     def merge(self, ids: list[str], *, force: bool = False) -> str:
