@@ -21,7 +21,7 @@ from keyloom.operators.components import connected_components
 from keyloom.plans.workspace import stored
 
 EDITS, LEAST_CHARS = 2, 24
-BLOCK, LONGEST_BIT = 32, 30  # columns of the table at a time; strings have fewer than 2**31 characters
+BLOCK, LONGEST_BIT = 8, 30  # columns of the table at a time; strings have fewer than 2**31 characters
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +123,7 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     met = index.join(probe.withColumnRenamed("h", "g"), "key").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     met = stored(met, "candidates")
     needed = met.select("h").union(met.select("g")).distinct()
-    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed, "h", "left_semi").distinct(), "lines")
+    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed.hint("merge"), "h", "left_semi").distinct(), "lines")
     both = met.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
     near = within(both.select("p", "q"), edits)
     return stored(near.select(_digest("p").alias("a"), _digest("q").alias("b")), "linked")
