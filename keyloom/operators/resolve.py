@@ -114,7 +114,7 @@ def refusal(candidates: Column) -> Column:
 
 _OUT = (
     "tag string, seq long, key string, canonical_id string, anchor string, entity_type string, name string, source string, "
-    "status string, reason string, matched_via array<string>, new_edges long, until long"
+    "status string, reason string, matched_via array<string>, new_edges long, until long, component string"
 )
 BEFORE = -(1 << 62)  # the "seq" of what an earlier snapshot holds
 OPEN = (1 << 62)
@@ -260,13 +260,24 @@ def _mint(anchor: str, taken: dict) -> str:
     return cid if not n else f"{cid}_{n}"
 
 
+def _apart(folded: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Ids that two components minted alike get _c1, _c2, ...; ids of the earlier snapshot stay."""
+    ids = folded.filter("canonical_id is not null").select("component", "canonical_id", F.lit(1).alias("fresh"))
+    ids = ids.unionByName(earlier.select("component", "canonical_id", F.lit(0).alias("fresh"))).groupBy("canonical_id", "component").agg(F.min("fresh").alias("fresh"))
+    n = F.row_number().over(Window.partitionBy("canonical_id").orderBy("fresh", "component")) - 1
+    renamed = stored(ids.withColumn("n", n).filter("n > 0").select("component", "canonical_id", F.concat(F.col("canonical_id"), F.lit("_c"), F.col("n").cast("string")).alias("renamed")), "renamed")
+    if renamed.isEmpty():
+        return folded
+    return folded.join(renamed, ["component", "canonical_id"], "left").withColumn("canonical_id", F.coalesce("renamed", "canonical_id")).drop("renamed")
+
+
 def resolve_exact(batch: Batch, snapshot: Clusters | None = None) -> Clusters:
     """Exact mode: as if each record were committed in the order of ``seq``.
 
     ``outcomes`` has seq, canonical_id, anchor, entity_type, name, status, reason, matched_via,
     new_edges, harvested, candidates (canonical_id, anchor, name) and confidence for every
-    record. Ids that collide within a component get a suffix; a component is one task, so a
-    component that holds most of a table is better served by set mode.
+    record. Ids that collide get a suffix; a component is one task, so a component that holds
+    most of a table is better served by set mode.
     """
     spark = shipped(batch.ids.sparkSession)
     ids = stored(batch.ids, "ids")
@@ -330,13 +341,14 @@ def resolve_exact(batch: Batch, snapshot: Clusters | None = None) -> Clusters:
                     seq, keys, said = r.seq, [], [r.source, r.entity_type, r.name]
                 keys.append((r.key, r.before))
         commit()
-        names = [c.split()[0] for c in _OUT.split(", ")]
+        names = [c.split()[0] for c in _OUT.split(", ")][:-1]
         out = pd.DataFrame(fold.result(), columns=names)
+        out["component"] = part["component"].iloc[0]
         for c in ("seq", "new_edges", "until"):
             out[c] = out[c].astype("Int64")
         return out
 
-    folded = stored(rows.groupBy("component").applyInPandas(run, _OUT), "folded")
+    folded = _apart(stored(rows.groupBy("component").applyInPandas(run, _OUT), "folded"), cluster_of)
     rest = cluster_of.join(touched, "component", "left_anti").select("canonical_id")
     keep = lambda df: df.join(rest, "canonical_id", "left_semi")
     entities = folded.filter("tag = 'entity'").select("canonical_id", "anchor", "entity_type", "name").unionByName(keep(old_entities).select("canonical_id", "anchor", "entity_type", "name"))

@@ -89,10 +89,6 @@ def batch(spark, stream, start=0):
     return from_ids(ids, said)
 
 
-def keys_of(stream, n=3):
-    return stream
-
-
 POOL = [f"wikidata:Q{i}" for i in range(1, 5)] + [f"imdb:tt{i}" for i in range(1, 4)] + [f"google_place_id:p{i}" for i in range(3)] + [f"domain:d{i}.com" for i in range(4)] + ["phone:+12025550100", "phone:+12025550101"]
 STREAMS = st.lists(st.lists(st.sampled_from(POOL), min_size=1, max_size=4, unique=True), min_size=1, max_size=14)
 
@@ -165,3 +161,12 @@ def test_components(spark):
 def test_empty_batch(spark):
     got = resolve_exact(from_ids(spark.createDataFrame([], "seq long, pos int, kind string, value string")))
     assert got.nodes.isEmpty() and got.entities.isEmpty() and got.outcomes.isEmpty()
+
+
+def test_colliding_ids_stay_apart(spark):
+    from keyloom.operators.resolve import _apart
+
+    rows = [("k1", "cx_1", "entity"), ("k2", "cx_1", "entity"), ("k2", "cx_1", "node"), ("k3", "cx_2", "entity")]
+    folded = spark.createDataFrame(rows, "component string, canonical_id string, tag string")
+    got = _apart(folded, spark.createDataFrame([("k2", "cx_1")], "component string, canonical_id string"))
+    assert {(r.component, r.tag): r.canonical_id for r in got.collect()} == {("k1", "entity"): "cx_1_c1", ("k2", "entity"): "cx_1", ("k2", "node"): "cx_1", ("k3", "entity"): "cx_2"}
