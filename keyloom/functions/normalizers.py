@@ -56,9 +56,10 @@ def domain(raw: Column) -> Column:
     address = host.rlike(rf"^({number}\.){{3}}{number}$") | host.rlike(r"^\[?[0-9a-f]*:[0-9a-f:.]*\]?$")
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
-    last_two = F.concat_ws(".", F.try_element_at(labels, n - 1), F.try_element_at(labels, n))
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    last_two = last(2)
     long_suffix = last_two.isin(SUFFIXES)
-    out = F.when(long_suffix & (n >= 3), F.concat_ws(".", F.try_element_at(labels, n - 2), last_two)).when(~long_suffix & (n >= 2), last_two)
+    out = F.when(long_suffix & (n >= 3), last(3)).when(~long_suffix & (n >= 2), last_two)
     return _if(~address & ~host.rlike(r"(?U)\s") & ~host.rlike(r"^\.|\.\.|\.$") & (host != ""), out)
 
 
