@@ -96,7 +96,7 @@ def resolve_by_name(queries: DataFrame, table: DataFrame, s: Snapshot) -> tuple[
     single = own.filter("size(places) <= 1").select("query_id", F.array_compact(F.array(pair("placekey", F.col("placekey")), pair("google_place_id", F.try_element_at("places", F.lit(1))))).alias("ids"), "name_norm", "q", "name").filter("size(ids) > 0")
     ids = single.select(F.col("query_id").alias("seq"), F.posexplode("ids").alias("pos", "i")).select("seq", "pos", "i.kind", "i.value")
     null = F.lit(None).cast("string")
-    said = single.select(F.col("query_id").alias("seq"), null.alias("entity_type"), null.alias("name"), F.size("ids").cast("long").alias("harvested"), F.lit("name_query").alias("source"))
+    said = single.select(F.col("query_id").alias("seq"), null.alias("entity_type"), null.alias("name"), F.size("ids").cast("long").alias("harvested"), F.lit("input").alias("source"))
     clusters, done = complete(from_ids(ids, said), table, s)
     done = done.join(single.select(F.col("query_id").alias("seq"), "ids", "name_norm", "q", F.col("name").alias("asked")), "seq").filter("canonical_id is not null")
     reason = F.when(F.exists("ids", lambda i: i["kind"] == "placekey"), "placekey_address").otherwise("place_unique_match")

@@ -34,7 +34,7 @@ def responses(df: DataFrame, *, order: str | None = None) -> DataFrame:
 def response_files(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of {"method", "url", "response"} files, in the order of their paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     own = files.select("path", *[F.get_json_object(text, f"$.{k}").alias(k) for k in ("method", "url", "response")])
     return responses(own.withColumn("method", F.coalesce("method", F.lit("GET"))), order="path")
 

@@ -132,3 +132,11 @@ def test_streams(spark, tmp_path):
     log = spark.createDataFrame([("2024-01-01 00:00:00", "phone_only"), ("2024-01-01 05:00:00", "exact_strong_key"), ("2024-01-02 00:00:00", "odd")], "ts string, reason_tag string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r.total, r.miss) for r in windowed_miss_rate(log).orderBy("window_start").collect()] == [(2, 1), (1, 1)]
     assert stats.totals(log.limit(0)).first().miss_rate == 0.0
+
+
+def test_response_files(spark, tmp_path):
+    for name, value in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"method": "GET", "url": "https://h.org/x?key=s&q=1", "response": {"v": value}}))
+    table = hubs.response_files(spark, str(tmp_path))
+    asked = spark.createDataFrame([("GET", "http://h.org/x/?q=1"), ("GET", "http://h.org/x?q=2"), ("GET", "http://h.org/y")], "method string, url string")
+    assert {r.url: r.response for r in hubs.answered(asked, table).collect()} == {"http://h.org/x/?q=1": '{"v":2}', "http://h.org/x?q=2": '{"v":2}', "http://h.org/y": None}
