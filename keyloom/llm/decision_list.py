@@ -132,8 +132,10 @@ def learned(cells: list[Cell], names: list[str], cuts: list[list[float]], *, mos
         return right, sum(c[3] for c in some) - right
 
     rules: list[Rule] = []
-    while len(rules) < most_rules:
-        growing, tests = [c for c in cells if c[2] != 2], []
+    passed_over: list[list] = []  # what rules that were not precise enough found is not looked for again
+    for _ in range(2 * most_rules):
+        growing = [c for c in cells if c[2] != 2 and not (c[1] and any(all(holds(t, c) for t in r) for r in passed_over))]
+        tests = []
         while len(tests) < most_conditions:
             p0, n0 = tally(growing)
             if not p0 or not n0:
@@ -156,7 +158,7 @@ def learned(cells: list[Cell], names: list[str], cuts: list[list[float]], *, mos
                 break
             tests.append(best)
             growing = [c for c in growing if holds(best, c)]
-        if not tests:
+        if not tests or len(rules) == most_rules:
             break
         pruning = [c for c in cells if c[2] == 2]
 
@@ -173,7 +175,8 @@ def learned(cells: list[Cell], names: list[str], cuts: list[list[float]], *, mos
             if precise:
                 break
         if not precise:
-            break
+            passed_over.append(tests)
+            continue
         rules.append(Rule(tuple(Condition(names[k], above, cuts[k][b]) for k, above, b in tests), right, wrong))
         cells = [c for c in cells if not all(holds(t, c) for t in tests)]
     return rules
@@ -182,13 +185,14 @@ def learned(cells: list[Cell], names: list[str], cuts: list[list[float]], *, mos
 def fit(counts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", most_rows: int = MOST_ROWS) -> list[Rule]:
     """Rules from the counts of documents and their labels (0: low quality).
 
-    Without labelled rows of both kinds the list is empty and keeps everything.
+    Rows that fail the base rule teach nothing here. Without labelled rows of both kinds the
+    list is empty and keeps everything.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     values = features()
     names = list(values)
-    rows = counts.join(F.broadcast(own), "doc_id").select((1 - F.col("label")).alias("low"), F.pmod(F.xxhash64(F.lit("third"), "doc_id"), F.lit(3)).alias("third"), *[v.alias(k) for k, v in values.items()])
+    rows = counts.filter(~base_failed()).join(F.broadcast(own), "doc_id").select((1 - F.col("label")).alias("low"), F.pmod(F.xxhash64(F.lit("third"), "doc_id"), F.lit(3)).alias("third"), *[v.alias(k) for k, v in values.items()])
     rows = stored(rows, "labelled")
     steps = [i / CUTS for i in range(CUTS + 1)]
     points = rows.agg(*[F.percentile(F.when(F.col("low") == 1, F.col(k)) if low else F.col(k), F.array(*map(F.lit, steps))).alias(f"{k}_{low}") for k in names for low in (0, 1)]).first()
