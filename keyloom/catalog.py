@@ -405,7 +405,7 @@ def invariants(spark, d):
 
 
 @registered("""
-SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'already_linked' WHEN 1 THEN CASE WHEN c.c_custkey IS NULL THEN 'conflict' WHEN c.c_custkey = o_custkey THEN 'already_linked' ELSE 'conflict' END
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'already_linked' WHEN 1 THEN CASE WHEN c.c_custkey IS NULL THEN 'conflict' WHEN c.c_custkey = o_custkey THEN 'self' ELSE 'conflict' END
  WHEN 2 THEN 'attached' WHEN 3 THEN 'created' WHEN 4 THEN 'invalid' ELSE 'self' END AS outcome
 FROM orders LEFT JOIN customer c ON c.c_custkey = o_orderkey
 """)

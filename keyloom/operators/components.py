@@ -27,20 +27,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every node have one edge, to a node that has none of its own?"""
+    many = edges.groupBy("a").count().filter("count > 1").select("a")
+    chained = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return many.unionByName(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", *, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node that has an edge to another node.
 
     ``component`` is the smallest node of the component; nodes may be of any orderable type.
     Nulls, loops and repeated edges are ignored. Raises if ``max_rounds`` do not settle it.
     """
-    e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    mark = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    e, before = cut(e), None
+    e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null and a <> b")
+    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
-        now = mark(e)
-        if now == before:
+        if _stars(e):
             roots = e.select(F.col("b").alias("node")).distinct()
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-        before = now
+        e = cut(_small_star(_large_star(e)))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
