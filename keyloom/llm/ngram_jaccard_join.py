@@ -192,6 +192,32 @@ def _ints(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array(x.astype(np.int64)) for x in arrays]
 
 
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Each pair once (the smaller fingerprint first), with the sum of its meetings."""
+    turn = rows["fa"] > rows["fb"]
+    own = rows.copy()
+    for x, y in (("fa", "fb"), ("na", "nb")):
+        own[x], own[y] = np.where(turn, rows[y], rows[x]), np.where(turn, rows[x], rows[y])
+    own = own[np.lexsort((own["fb"], own["fa"]))]
+    if not len(own):
+        return own
+    first = np.flatnonzero(np.concatenate([[True], (own["fa"][1:] != own["fa"][:-1]) | (own["fb"][1:] != own["fb"][:-1])]))
+    met, fit = np.add.reduceat(own["met"], first), np.logical_or.reduceat(own["fit"], first)
+    own = own[first]
+    own["met"], own["fit"] = met, fit
+    return own
+
+
+def _packed(rows: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(part, pairs) for the tasks that add the meetings up."""
+    if not len(rows):
+        return []
+    to = ((rows["fa"] ^ rows["fb"]) % U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    first = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
+    return [(int(to[order[a]]), rows[order[a:b]].tobytes()) for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
+
+
 class _Counted:
     """Pairs of a task, each once, with how often they met and whether they ever fitted."""
 
@@ -223,10 +249,7 @@ class _Counted:
         p, q = self.rows[self.first[self.code >> 32]], self.rows[self.first[self.code & 0xFFFFFFFF]]
         out = np.empty(len(p), MET)
         out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], self.count, self.fit
-        to = ((out["fa"] ^ out["fb"]) % U(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        first = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
-        return [(int(to[order[a]]), out[order[a:b]].tobytes()) for a, b in zip(first, [*first[1:], len(out)], strict=True)]
+        return _packed(out, parts)
 
 
 def _regions(prefixes: DataFrame, numer: int, denom: int, parts: int) -> DataFrame:
@@ -288,24 +311,22 @@ def _regions(prefixes: DataFrame, numer: int, denom: int, parts: int) -> DataFra
     return arrow_map(prefixes, run, "kind int, part int, fp_a long, met long, packed binary")
 
 
-def _met(found: DataFrame, tasks: int) -> DataFrame:
+def _met(packed: DataFrame, tasks: int) -> DataFrame:
     """Each pair once, with the sum of its meetings."""
 
     def run(batches):
         blobs = [c.as_buffer() for b in batches for c in b.column(0)]
         if not blobs:
             return
-        rows = np.concatenate([np.frombuffer(b, MET) for b in blobs])
-        turn = rows["fa"] > rows["fb"]
-        for x, y in (("fa", "fb"), ("na", "nb")):
-            rows[x], rows[y] = np.where(turn, rows[y], rows[x]), np.where(turn, rows[x], rows[y])
-        rows = rows[np.lexsort((rows["fb"], rows["fa"]))]
-        first = np.flatnonzero(np.concatenate([[True], (rows["fa"][1:] != rows["fa"][:-1]) | (rows["fb"][1:] != rows["fb"][:-1])]))
-        met, fit = np.add.reduceat(rows["met"].astype(np.int64), first), np.logical_or.reduceat(rows["fit"], first)
-        own = rows[first]
-        yield pa.RecordBatch.from_arrays([*_ints(own["fa"], own["na"], own["fb"], own["nb"], met), pa.array(fit)], names=["fp_a", "n_a", "fp_b", "n_b", "met", "fit"])
+        own = _summed(np.concatenate([np.frombuffer(b, MET) for b in blobs]))
+        yield pa.RecordBatch.from_arrays([*_ints(own["fa"], own["na"], own["fb"], own["nb"], own["met"]), pa.array(own["fit"])], names=["fp_a", "n_a", "fp_b", "n_b", "met", "fit"])
+
+    return arrow_map(packed.select("part", "packed").repartition(tasks, "part").select("packed"), run, f"{PAIR}, met long, fit boolean")
 
-    return arrow_map(found.filter("kind = 0").select("part", "packed").repartition(tasks, "part").select("packed"), run, f"{PAIR}, met long, fit boolean")
+
+def _least_sql(numer: int, denom: int) -> str:
+    """``least_meetings`` of n_a and n_b in SQL."""
+    return f"(ceil({numer} * (n_a + n_b) / {numer + denom}) - greatest(ceil({numer} * n_a / {denom}), ceil({numer} * n_b / {denom})) + 1)"
 
 
 def _candidates(found: DataFrame, numer: int, denom: int, tasks: int) -> DataFrame:
@@ -317,7 +338,7 @@ def _candidates(found: DataFrame, numer: int, denom: int, tasks: int) -> DataFra
     crowded regions are not counted pair by pair, but each set has at most as many as it has
     crowded regions; pairs that meet only there are found when those are joined again.
     """
-    pairs = _met(found, tasks)
+    pairs = _met(found.filter("kind = 0"), tasks)
     crowded = found.filter("kind = 1").groupBy("fp_a").agg(F.sum("met").alias("crowded"))
     if crowded.isEmpty():
         pairs = pairs.withColumn("more", F.lit(0))
@@ -325,15 +346,7 @@ def _candidates(found: DataFrame, numer: int, denom: int, tasks: int) -> DataFra
         for k in "ab":
             pairs = pairs.join(crowded.select(F.col("fp_a").alias(f"fp_{k}"), F.col("crowded").alias(f"crowded_{k}")), f"fp_{k}", "left")
         pairs = pairs.withColumn("more", F.least(F.coalesce("crowded_a", F.lit(0)), F.coalesce("crowded_b", F.lit(0))))
-    overlap = f"ceil({numer} * (n_a + n_b) / {numer + denom})"
-    least = f"{overlap} - greatest(ceil({numer} * n_a / {denom}), ceil({numer} * n_b / {denom})) + 1"  # least_meetings
-    return pairs.filter(f"met + more >= {least} and (fit or more > 0)").select("fp_a", "n_a", "fp_b", "n_b")
-
-
-def _pair_batch(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-    turn = p["fp"] > q["fp"]
-    a, b = np.where(turn, q, p), np.where(turn, p, q)
-    return pa.RecordBatch.from_arrays(_ints(a["fp"], a["n"], b["fp"], b["n"]), names=["fp_a", "n_a", "fp_b", "n_b"])
+    return pairs.filter(f"met + more >= {_least_sql(numer, denom)} and (fit or more > 0)").select("fp_a", "n_a", "fp_b", "n_b")
 
 
 def _members(crowds: DataFrame) -> DataFrame:
@@ -348,33 +361,45 @@ def _members(crowds: DataFrame) -> DataFrame:
     return arrow_map(crowds.select("packed"), run, "s long, fp long, n long, pos long")
 
 
-def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> DataFrame:
-    """Candidate pairs of different components, region by region (s, fp, n, pos, component, crowded).
+def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int = 512) -> DataFrame:
+    """Candidate pairs of different components, region by region (s, fp, n, pos, component, other).
 
-    Pairs that also met in calm regions were judged before, so only those are left whose crowded
-    regions alone are enough.
+    Pairs that also met in regions that are not joined again were judged before; ``other`` bounds
+    how many crowded ones of these a set has, so met + other must reach ``least_meetings`` here too.
     """
+    parts = 8 * tasks
 
-    def pairs(rows: np.ndarray, comp: np.ndarray, crowded: np.ndarray):
+    def pairs(rows: np.ndarray, comp: np.ndarray):
         for a in range(0, len(rows), block):
             for b in range(a, len(rows), block):
                 p, q = rows[a : a + block], rows[b : b + block]
-                n, m, i, j = (x.astype(np.int64) for x in (p["n"], q["n"], p["pos"], q["pos"]))
-                ok = _fits(n[:, None], m[None], i[:, None], j[None], numer, denom) & (comp[a : a + block, None] != comp[None, b : b + block])
-                ok &= np.minimum(crowded[a : a + block, None], crowded[None, b : b + block]) >= least_meetings(n[:, None], m[None], numer, denom)
+                small, large = np.minimum(p["n"][:, None], q["n"][None]).astype(np.int64), np.maximum(p["n"][:, None], q["n"][None]).astype(np.int64)
+                ok = (comp[a : a + block, None] != comp[None, b : b + block]) & (denom * small >= numer * large)
                 x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
-                if len(x):
-                    yield _pair_batch(p[x], q[y])
+                out = np.empty(len(x), MET)
+                p, q = p[x], q[y]
+                out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], 1, _fit(p, q, numer, denom)
+                yield out
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
+        found, n_found = [], 0
 
         def region():
-            s, fp, n, pos, comp, crowded = (np.concatenate(c) for c in zip(*held, strict=True))
+            s, fp, n, pos, comp = (np.concatenate(c) for c in zip(*held, strict=True))
             if (comp != comp[0]).any():
                 rows = np.empty(len(s), ENTRY)
                 rows["s"], rows["fp"], rows["n"], rows["pos"] = s.astype(np.uint64), fp.astype(np.uint64), n, pos
-                yield from pairs(rows, comp, crowded)
+                yield from pairs(rows, comp)
+
+        def ended():
+            nonlocal found, n_found
+            for out in region():
+                found.append(out)
+                n_found += len(out)
+                if n_found > 1_000_000:
+                    found = [_summed(np.concatenate(found))]
+                    n_found = 0
 
         for batch in batches:
             s, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -383,13 +408,21 @@ def _between(members: DataFrame, numer: int, denom: int, block: int = 2048) -> D
             cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and held[-1][0][0] != s[a]:
-                    yield from region()
+                    ended()
                     held = []
                 held.append((s[a:b], *(c[a:b] for c in rest)))
         if held:
-            yield from region()
-
-    return arrow_map(members.repartition("s").sortWithinPartitions("s").select("s", "fp", "n", "pos", "component", "crowded"), run, PAIR)
+            ended()
+        if found:
+            out = _packed(_summed(np.concatenate(found)), parts)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "packed"])
+
+    entries = members.select("s", "fp", "n", "pos", "component").repartition("s").sortWithinPartitions("s")
+    met = _met(arrow_map(entries, run, "part int, packed binary"), tasks)
+    other = members.select("fp", "other").distinct()
+    for k in "ab":
+        met = met.join(other.select(F.col("fp").alias(f"fp_{k}"), F.col("other").alias(f"other_{k}")), f"fp_{k}")
+    return met.filter(f"fit and met + least(other_a, other_b) >= {_least_sql(numer, denom)}").select("fp_a", "n_a", "fp_b", "n_b")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, numer: int, denom: int) -> DataFrame:
@@ -469,8 +502,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if not crowds.isEmpty():
         labels = reps.join(components, F.col("rep") == F.col("node"), "left").select("n", "fp", F.coalesce("component", "rep").alias("component"))
         crowded = found.filter("kind = 1").groupBy(F.col("fp_a").alias("fp")).agg(F.sum("met").alias("crowded"))
-        again = _between(_members(crowds).join(labels, ["n", "fp"]).join(crowded, "fp"), numer, denom)
-        more = _links(again.distinct(), reps, docs, width, numer, denom)
+        members = stored(_members(crowds).join(labels, ["n", "fp"]), "members")
+        here = members.groupBy("fp").agg(F.count(F.lit(1)).alias("here"))
+        members = members.join(here, "fp").join(crowded, "fp").withColumn("other", F.col("crowded") - F.col("here"))
+        again = _between(members, numer, denom, tasks)
+        more = _links(again, reps, docs, width, numer, denom)
         components = connected_components(links.unionByName(more))
     labelled = reps.join(components, F.col("rep") == F.col("node"), "left").select("n", "fp", "mask", F.coalesce("component", "rep").alias("component_id"))
     spread = labelled.withColumn("salt", F.explode(salts_of("mask", salts))).drop("mask")
