@@ -118,8 +118,10 @@ def _eligible(lines: DataFrame, least_chars: int) -> DataFrame:
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): digests of different lines within ``edits`` edits. ``lines`` has a column line."""
     distinct = lines.select(F.xxhash64("line").alias("h"), "line").distinct().withColumn("n", F.length("line"))
-    index = distinct.select("h", F.explode(F.expr(f"array({', '.join(index_keys(edits))})")).alias("key"))
-    probe = distinct.select("h", F.explode(F.expr(f"array({', '.join(probe_keys(edits))})")).alias("key")).filter("key is not null")
+    arrays = [F.expr(f"array({', '.join(make(edits))})").alias(name) for name, make in (("index", index_keys), ("probe", probe_keys))]
+    keys = stored(distinct.select("h", *arrays), "keys")  # the lines themselves are not moved again for this
+    index = keys.select("h", F.explode("index").alias("key"))
+    probe = keys.select("h", F.explode("probe").alias("key")).filter("key is not null")
     met = index.join(probe.withColumnRenamed("h", "g"), "key").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     met = stored(met, "candidates")
     needed = met.select("h").union(met.select("g")).distinct()
