@@ -19,7 +19,7 @@ from keyloom.operators import corrections, names
 from keyloom.operators.complete import complete
 from keyloom.operators.components import connected_components
 from keyloom.operators.resolve import anchor, resolve_exact, resolve_set
-from keyloom.plans import stats, store
+from keyloom.plans import documents, stats, store
 from keyloom.sources import hubs, pages, records
 from keyloom.streaming.commits import sessions, windowed_miss_rate
 
@@ -302,6 +302,18 @@ def exact_fold(spark, d):
     return out.select("seq", "anchor", "status", "reason", F.array_join("matched_via", "|").alias("matched_via"), "new_edges", F.size("candidates").cast("long").alias("n_candidates"))
 
 
+@registered(f"""{_SET_SQL}
+SELECT c_custkey AS seq, 'new' AS status, 0.6::DOUBLE AS confidence, anchor, c_name AS name, 'customer' AS source, 4::BIGINT AS harvested FROM e
+UNION ALL SELECT o_orderkey + {_LATE}, 'hit', 0.95, anchor, c_name, 'customer', 2 FROM orders JOIN e ON o_custkey = c_custkey
+""")
+def wire_document(spark, d):
+    c = resolve_exact(crosswalk_batch(spark, d))
+    out = documents.wire_documents(c.outcomes, store.empty(spark).with_clusters(c), "resolve")
+    j = lambda path, kind="string": F.get_json_object("document", path).cast(kind)
+    source = F.from_json(F.get_json_object("document", "$.provenance"), "map<string,string>")[j("$.anchor")]
+    return out.select("seq", j("$.status").alias("status"), j("$.confidence", "double").alias("confidence"), j("$.anchor").alias("anchor"), j("$.name").alias("name"), source.alias("source"), j("$.harvested", "long").alias("harvested"))
+
+
 # ---- store ----------------------------------------------------------------------------------
 
 

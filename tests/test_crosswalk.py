@@ -140,3 +140,17 @@ def test_response_files(spark, tmp_path):
     table = hubs.response_files(spark, str(tmp_path))
     asked = spark.createDataFrame([("GET", "http://h.org/x/?q=1"), ("GET", "http://h.org/x?q=2"), ("GET", "http://h.org/y")], "method string, url string")
     assert {r.url: r.response for r in hubs.answered(asked, table).collect()} == {"http://h.org/x/?q=1": '{"v":2}', "http://h.org/x?q=2": '{"v":2}', "http://h.org/y": None}
+
+
+def test_requests():
+    from keyloom.sources.requests import BadRequest, identifier, selected
+
+    assert identifier({"id": "imdb:tt1", "domain": "x"}) == ("imdb", "tt1")
+    assert identifier({"wikidata": "Q1", "domain": "a.com"}) == ("domain", "a.com") and identifier({"place_id": "P"}) == ("google_place_id", "P")
+    for bad in ({}, {"id": "nope"}, {"id": "zz:1"}):
+        with pytest.raises(BadRequest):
+            identifier(bad)
+    assert selected({"name": "x", "city": "y"}) == "name"
+    for bad in ({}, {"imdb": "1", "name": "x"}, {"imdb": "1", "city": "y"}, {"name": " "}):
+        with pytest.raises(BadRequest):
+            selected(bad)
