@@ -113,7 +113,7 @@ def url_identifier(url: Column) -> Column:
         skip = skip | low.contains(s)
 
     def pair(tag: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(F.lit(tag).alias("kind"), value.alias("value")))
+        return N.once(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(tag).alias("kind"), v.alias("value"))))
 
     found = [pair(k.tag, k.normalize(k.page(url))) for k in KINDS.values() if k.page is not None]
     found.append(F.when(low.startswith("http://") | low.startswith("https://"), pair("domain", N.domain(url))))

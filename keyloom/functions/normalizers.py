@@ -7,6 +7,8 @@ projections around them are planned as usual.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,18 @@ def ascii_lower(x: Column) -> Column:
     return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    Without this the value's expression is repeated at every use: Spark shares equal parts in
+    compiled projections, but not inside lambdas, and planning time grows with the tree.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _given(x: Column) -> Column:
     """Trimmed, NULL if empty."""
-    t = trimmed(x)
-    return F.when(t != "", t)
+    return once(trimmed(x), lambda t: F.when(t != "", t))
 
 
 def _if(test: Column, value: Column) -> Column:
@@ -48,18 +58,21 @@ def domain(raw: Column) -> Column:
     Ports and user names go from URLs only. IP literals, hosts with empty labels or white
     space, and bare suffixes are NULL.
     """
-    t = _given(raw)
-    url = t.contains("://")
-    host = F.when(url, F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\\]*@)?(\[[^\]]*\]|[^:/?#\\]*)", 1)).otherwise(F.split(F.regexp_replace(t, r"^(//)+", ""), "/")[0])
-    host = F.regexp_replace(ascii_lower(trimmed(host)), r"^www\.", "")
+    return once(_given(raw), lambda t: once(_host(t), lambda host: once(F.split(host, r"\.", -1), lambda labels: _registrable(host, labels))))
+
+
+def _host(t: Column) -> Column:
+    from_url = F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\\]*@)?(\[[^\]]*\]|[^:/?#\\]*)", 1)
+    host = F.when(t.contains("://"), from_url).otherwise(F.split(F.regexp_replace(t, r"^(//)+", ""), "/")[0])
+    return F.regexp_replace(once(trimmed(host), ascii_lower), r"^www\.", "")
+
+
+def _registrable(host: Column, labels: Column) -> Column:
     number = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
     address = host.rlike(rf"^({number}\.){{3}}{number}$") | host.rlike(r"^\[?[0-9a-f]*:[0-9a-f:.]*\]?$")
-    labels = F.split(host, r"\.", -1)
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    last_two = last(2)
-    long_suffix = last_two.isin(SUFFIXES)
-    out = F.when(long_suffix & (n >= 3), last(3)).when(~long_suffix & (n >= 2), last_two)
+    out = once(last(2), lambda two: F.when(two.isin(SUFFIXES), F.when(n >= 3, last(3))).otherwise(F.when(n >= 2, two)))
     return _if(~address & ~host.rlike(r"(?U)\s") & ~host.rlike(r"^\.|\.\.|\.$") & (host != ""), out)
 
 
@@ -70,18 +83,21 @@ def phone(raw: Column) -> Column:
     count as on a keypad; extensions go.
     """
     t = F.regexp_replace(_given(raw), r"^00", "+")
-    t = F.regexp_replace(t, r"(?i)(;ext=|\s*#|\s*\bext\b\.?|\s*x\s*(?=\d))\s*=?\s*\d*\s*$", "")
+    return once(F.regexp_replace(t, r"(?i)(;ext=|\s*#|\s*\bext\b\.?|\s*x\s*(?=\d))\s*=?\s*\d*\s*$", ""), _e164)
+
+
+def _e164(t: Column) -> Column:
     shaped = t.rlike(r"^\+?\(?\+?[0-9][0-9A-Za-z ().\-/ ]*$") & t.rlike(r"(\d[^A-Za-z]*){3}")
-    keyed = F.translate(F.upper(t), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
-    digits = F.regexp_replace(keyed, r"\D", "")
-    american = F.regexp_extract(digits, r"^1?([2-9]\d{2}[2-9]\d{6})$", 1)
+    keyed = F.regexp_replace(F.translate(F.upper(t), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999"), r"\D", "")
     abroad = t.startswith("+")
-    return F.when(
-        shaped,
-        F.when(~abroad & (american != ""), F.concat(F.lit("+1"), american))
-        .when(abroad & digits.startswith("1") & (F.length(digits) == 11) & (american != ""), F.concat(F.lit("+1"), american))
-        .when(abroad & ~digits.startswith("1") & digits.rlike(r"^[2-9]\d{7,14}$"), F.concat(F.lit("+"), digits)),
-    )
+
+    def of(digits: Column) -> Column:
+        american = F.regexp_extract(digits, r"^1?([2-9]\d{2}[2-9]\d{6})$", 1)
+        ours = (american != "") & (~abroad | (digits.startswith("1") & (F.length(digits) == 11)))
+        theirs = abroad & digits.rlike(r"^[2-9]\d{7,14}$")
+        return F.when(ours, F.concat(F.lit("+1"), american)).when(theirs, F.concat(F.lit("+"), digits))
+
+    return F.when(shaped, once(keyed, of))
 
 
 def place_id(raw: Column) -> Column:
@@ -96,18 +112,18 @@ def _token(raw: Column, prefix: str) -> Column:
 
 
 def imdb(raw: Column) -> Column:
-    digits = F.substring(_token(raw, "tt"), 3, 1 << 30)
-    return _if(digits.rlike(r"^[0-9]+$"), F.concat(F.lit("tt"), digits))
+    return once(F.substring(_token(raw, "tt"), 3, 1 << 30), lambda digits: _if(digits.rlike(r"^[0-9]+$"), F.concat(F.lit("tt"), digits)))
 
 
 def qid(raw: Column) -> Column:
-    digits = F.substring(_token(raw, "Q"), 2, 1 << 30)
-    return _if(digits.rlike(r"^[0-9]+$") & ~digits.rlike(r"^0+$"), F.concat(F.lit("Q"), digits))
+    return once(F.substring(_token(raw, "Q"), 2, 1 << 30), lambda digits: _if(digits.rlike(r"^[0-9]+$") & ~digits.rlike(r"^0+$"), F.concat(F.lit("Q"), digits)))
 
 
 def tmdb(raw: Column) -> Column:
-    t = _given(raw)
-    low = ascii_lower(t)
+    return once(_given(raw), lambda t: once(ascii_lower(t), lambda low: _film(t, low)))
+
+
+def _film(t: Column, low: Column) -> Column:
     inside = F.when(low.contains("/movie/"), F.regexp_extract(t, r"(?i)^.*?/movie/([^/\-?#= ]*)", 1)).when(low.contains("/tv/"), F.regexp_extract(t, r"(?i)^.*?/tv/([^/\-?#= ]*)", 1))
     page = t.contains("://") | low.contains("themoviedb.org")
     digits = F.when(inside.isNotNull(), inside).when(~page, t)
@@ -116,14 +132,16 @@ def tmdb(raw: Column) -> Column:
 
 
 def yelp(raw: Column) -> Column:
-    low = ascii_lower(_given(raw))
+    return once(ascii_lower(_given(raw)), _slug)
+
+
+def _slug(low: Column) -> Column:
     slug = F.when(low.contains("/biz/"), F.regexp_extract(low, r"(?s)^.*?/biz/(.*)$", 1)).when(~(low.contains("://") | low.contains("yelp.com")), low)
     return _given(F.split(slug, r"[/?#]", -1)[0])
 
 
 def placekey(raw: Column) -> Column:
-    low = ascii_lower(_given(raw))
-    return _if(low.rlike(r"^([a-z0-9]+(-[a-z0-9]+)*)?@[a-z0-9]+(-[a-z0-9]+)*$"), low)
+    return once(ascii_lower(_given(raw)), lambda low: _if(low.rlike(r"^([a-z0-9]+(-[a-z0-9]+)*)?@[a-z0-9]+(-[a-z0-9]+)*$"), low))
 
 
 def name_key(raw: Column) -> Column:

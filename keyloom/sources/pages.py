@@ -20,8 +20,8 @@ def _attribute(html: Column, tag: str, name: str, value: str, wanted: str) -> Co
     quoted = r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
     tags = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
     first = F.try_element_at(F.filter(tags, lambda t: t.rlike(rf"""(?is)\b{name}\s*=\s*["']?{value}["'\s>/]""") & t.rlike(rf"(?is)\b{wanted}{quoted}")), F.lit(1))
-    a, b = F.regexp_extract(first, rf"(?is)\b{wanted}{quoted}", 1), F.regexp_extract(first, rf"(?is)\b{wanted}{quoted}", 2)
-    return unescaped_html(F.when(a != "", a).otherwise(b))
+    value = lambda tag: F.concat(*[F.regexp_extract(tag, rf"(?is)\b{wanted}{quoted}", k) for k in (1, 2)])  # noqa: E731  one of the two is empty
+    return unescaped_html(N.once(first, value))
 
 
 def unescaped_html(x: Column) -> Column:
@@ -55,7 +55,7 @@ def harvested(pages: DataFrame, *, page_domain: str = "domain", html: str = "htm
     own = own.withColumn("__objects", _objects(F.col("__blocks")))
     first = lambda path: F.try_element_at(F.filter(F.transform("__objects", lambda v: _text(v, path)), lambda t: t.isNotNull()), F.lit(1))
     pair = lambda tag, value: F.struct(F.lit(tag).alias("kind"), value.alias("value"))
-    one = lambda x: F.when(x["value"].isNotNull(), F.array(x)).otherwise(F.array().cast(_IDS))
+    one = lambda x: N.once(x, lambda v: F.when(v["value"].isNotNull(), F.array(v)).otherwise(F.array().cast(_IDS)))
 
     def same_as(v: Column) -> Column:
         got = F.try_variant_get(v, "$.sameAs", "variant")
