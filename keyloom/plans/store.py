@@ -91,10 +91,9 @@ def find(keys: DataFrame, s: Snapshot) -> DataFrame:
 
 def find_many(lists: DataFrame, s: Snapshot, *, keys: str = "keys") -> DataFrame:
     """``lists`` plus found: the canonical ids in the order of the keys, null for misses."""
-    own = lists.withColumn("__row", F.monotonically_increasing_id())
-    each = own.select("__row", F.posexplode(keys).alias("pos", "key"))
-    found = find(each, s).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical_id"))).alias("f"))
-    return own.join(found, "__row", "left").select(*lists.columns, F.coalesce(F.transform("f", lambda x: x["canonical_id"]), F.array().cast("array<string>")).alias("found"))
+    each = lists.select(F.col(keys).alias("__keys")).distinct().select("__keys", F.posexplode("__keys").alias("pos", "key"))
+    found = find(each, s).groupBy("__keys").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical_id"))).alias("f"))
+    return lists.join(found, F.col(keys) == F.col("__keys"), "left").select(*lists.columns, F.coalesce(F.transform("f", lambda x: x["canonical_id"]), F.array().cast("array<string>")).alias("found"))
 
 
 def find_phone(phones: DataFrame, s: Snapshot) -> DataFrame:
