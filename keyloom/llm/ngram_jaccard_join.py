@@ -56,6 +56,16 @@ def _fingerprint(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(32)) ^ np.diff(offsets).astype(np.uint64)) * U(0x94D049BB133111EB)
 
 
+COUNT = np.dtype([("at", "<u2"), ("n", "<u4")])
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    out = np.empty(len(at), COUNT)
+    out["at"], out["n"] = at, counts[at]
+    return out.tobytes()
+
+
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """A row per document (doc_id, n, fp), and rows (chunk, counts) of each task's sketch."""
 
@@ -73,10 +83,10 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
                 names=["doc_id", "n", "fp", "chunk", "counts"],
             )
         step = min(CHUNK, 1 << bits)
-        some = [i for i in range(0, 1 << bits, step) if counts[i : i + step].any()]
+        some = [i for i in range(0, 1 << bits, step) if counts[i : i + step].any()]  # most are sparse where tasks are small
         k = len(some)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i // step for i in some], pa.int32()), pa.array([counts[i : i + step].astype("<u4").tobytes() for i in some], pa.binary())],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i // step for i in some], pa.int32()), pa.array([_sparse(counts[i : i + step]) for i in some], pa.binary())],
             names=["doc_id", "n", "fp", "chunk", "counts"],
         )
 
@@ -89,15 +99,17 @@ def _ranks(scan: DataFrame, bits: int) -> np.ndarray:
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(c, "<u4").astype(np.int64)
-                total[k] = total[k] + own if k in total else own
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(c.as_buffer(), COUNT)
+                if k not in total:
+                    total[k] = np.zeros(CHUNK, np.int64)
+                total[k][own["at"]] += own["n"]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
     counts, step = np.zeros(1 << bits, np.int64), min(CHUNK, 1 << bits)
     rows = scan.filter("chunk is not null").select("chunk", "counts")
     for r in arrow_map(rows.repartition("chunk"), add, "chunk int, counts binary").collect():
-        counts[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
+        counts[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["counts"], "<i8")[:step]
     usual = float(np.median(counts))
     excess = np.maximum(0, counts - usual - 4 * np.sqrt(usual + 1))
     return np.where(excess > 0, 1 + np.floor(2 * np.log2(1 + excess)), 0).astype(np.uint8)
@@ -185,7 +197,7 @@ def _pairs_of(rows: np.ndarray, first: np.ndarray, size: np.ndarray, numer: int,
 PAIR = "fp_a long, n_a long, fp_b long, n_b long"
 
 
-MET = np.dtype([("fa", "<u8"), ("fb", "<u8"), ("na", "<u4"), ("nb", "<u4"), ("met", "<u4"), ("fit", "?")])
+MET = np.dtype([("fa", "<u8"), ("fb", "<u8"), ("na", "<u4"), ("nb", "<u4"), ("met", "<u4"), ("more", "<u4"), ("fit", "?")])
 
 
 def _ints(*arrays: np.ndarray) -> list[pa.Array]:
@@ -248,7 +260,7 @@ class _Counted:
         self.settle()
         p, q = self.rows[self.first[self.code >> 32]], self.rows[self.first[self.code & 0xFFFFFFFF]]
         out = np.empty(len(p), MET)
-        out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], self.count, self.fit
+        out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["more"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], self.count, 0, self.fit
         return _packed(out, parts)
 
 
@@ -311,14 +323,16 @@ def _regions(prefixes: DataFrame, numer: int, denom: int, parts: int) -> DataFra
     return arrow_map(prefixes, run, "kind int, part int, fp_a long, met long, packed binary")
 
 
-def _met(packed: DataFrame, tasks: int) -> DataFrame:
-    """Each pair once, with the sum of its meetings."""
+def _met(packed: DataFrame, tasks: int, enough=None) -> DataFrame:
+    """Each pair once, with the sum of its meetings; only those for which ``enough(pairs)`` holds."""
 
     def run(batches):
         blobs = [c.as_buffer() for b in batches for c in b.column(0)]
         if not blobs:
             return
         own = _summed(np.concatenate([np.frombuffer(b, MET) for b in blobs]))
+        if enough is not None:
+            own = own[enough(own)]
         yield pa.RecordBatch.from_arrays([*_ints(own["fa"], own["na"], own["fb"], own["nb"], own["met"]), pa.array(own["fit"])], names=["fp_a", "n_a", "fp_b", "n_b", "met", "fit"])
 
     return arrow_map(packed.select("part", "packed").repartition(tasks, "part").select("packed"), run, f"{PAIR}, met long, fit boolean")
@@ -369,7 +383,7 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
     """
     parts = 8 * tasks
 
-    def pairs(rows: np.ndarray, comp: np.ndarray):
+    def pairs(rows: np.ndarray, comp: np.ndarray, other: np.ndarray):
         for a in range(0, len(rows), block):
             for b in range(a, len(rows), block):
                 p, q = rows[a : a + block], rows[b : b + block]
@@ -379,6 +393,7 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
                 out = np.empty(len(x), MET)
                 p, q = p[x], q[y]
                 out["fa"], out["na"], out["fb"], out["nb"], out["met"], out["fit"] = p["fp"], p["n"], q["fp"], q["n"], 1, _fit(p, q, numer, denom)
+                out["more"] = np.minimum(other[a : a + block][x], other[b : b + block][y])
                 yield out
 
     def run(batches):
@@ -386,11 +401,11 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
         found, n_found = [], 0
 
         def region():
-            s, fp, n, pos, comp = (np.concatenate(c) for c in zip(*held, strict=True))
+            s, fp, n, pos, comp, other = (np.concatenate(c) for c in zip(*held, strict=True))
             if (comp != comp[0]).any():
                 rows = np.empty(len(s), ENTRY)
                 rows["s"], rows["fp"], rows["n"], rows["pos"] = s.astype(np.uint64), fp.astype(np.uint64), n, pos
-                yield from pairs(rows, comp)
+                yield from pairs(rows, comp, other)
 
         def ended():
             nonlocal found, n_found
@@ -417,12 +432,12 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
             out = _packed(_summed(np.concatenate(found)), parts)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "packed"])
 
-    entries = members.select("s", "fp", "n", "pos", "component").repartition("s").sortWithinPartitions("s")
-    met = _met(arrow_map(entries, run, "part int, packed binary"), tasks)
-    other = members.select("fp", "other").distinct()
-    for k in "ab":
-        met = met.join(other.select(F.col("fp").alias(f"fp_{k}"), F.col("other").alias(f"other_{k}")), f"fp_{k}")
-    return met.filter(f"fit and met + least(other_a, other_b) >= {_least_sql(numer, denom)}").select("fp_a", "n_a", "fp_b", "n_b")
+    def enough(p: np.ndarray) -> np.ndarray:
+        n, m = p["na"].astype(np.int64), p["nb"].astype(np.int64)
+        return p["fit"] & (p["met"].astype(np.int64) + p["more"] >= least_meetings(n, m, numer, denom))
+
+    entries = members.select("s", "fp", "n", "pos", "component", "other").repartition("s").sortWithinPartitions("s")
+    return _met(arrow_map(entries, run, "part int, packed binary"), tasks, enough).select("fp_a", "n_a", "fp_b", "n_b")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, numer: int, denom: int) -> DataFrame:
