@@ -33,7 +33,7 @@ from keyloom.plans.workspace import arrow_map, stored
 CAPACITY = 2048
 END = 0  # the id after each document
 MARK = "\ue000"  # separates words that are tokenised in one call; not in them (checked)
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
