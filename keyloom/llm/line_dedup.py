@@ -115,6 +115,10 @@ def _eligible(lines: DataFrame, least_chars: int) -> DataFrame:
     return lines.filter((F.length("line") >= least_chars) & F.col("line").rlike(r"\S"))
 
 
+def _least_exact(least_chars: int, least_exact: int | None) -> int:
+    return least_chars if least_exact is None else min(least_exact, least_chars)
+
+
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): digests of different lines within ``edits`` edits. ``lines`` has a column line."""
     distinct = lines.select(F.xxhash64("line").alias("h"), "line").distinct().withColumn("n", F.length("line"))
@@ -135,22 +139,23 @@ def _digest(line: str) -> Column:
     return F.unhex(F.md5(line))
 
 
-def first_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def first_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """(doc_id, line_no) of the first line of each class, by id and then place."""
-    lines = _eligible(lines_of(docs, id_col, text_col), least_chars)
-    classes = connected_components(linked_lines(lines, edits))
+    lines = _eligible(lines_of(docs, id_col, text_col), _least_exact(least_chars, least_exact))
+    classes = connected_components(linked_lines(_eligible(lines, least_chars), edits))
     place = F.struct("doc_id", "line_no")
     firsts = lines.groupBy(_digest("line").alias("id")).agg(F.min(place).alias("at"))
     named = firsts.join(classes, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "at")
     return named.groupBy("id").agg(F.min("at").alias("at")).select("at.doc_id", "at.line_no")
 
 
-def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, text for every row of ``docs``: each class of lines once.
 
     Lines of at least ``least_chars`` characters take part; two are linked within ``edits`` edits,
-    classes are what links connect, and the first line (smallest id, then place) stays.
-    Shorter and blank lines always stay: few edits make any two of them alike. Null text gives no
+    classes are what links connect, and the first line (smallest id, then place) stays. Few edits
+    make any two shorter lines alike: those of at least ``least_exact`` characters (not given: none)
+    are linked by equal text only. Still shorter and blank lines always stay. Null text gives no
     lines and null text; an empty text is one blank line; a text that loses all lines is empty. Rows
     with one id are taken for one document and keep the same lines. A null id comes first. An empty
     input gives no rows. Other columns are ignored, whatever their names.
@@ -158,10 +163,10 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     if least_chars <= edits + 1:
         raise ValueError("lines must be longer than the edits allowed")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kept = first_lines(docs, edits=edits, least_chars=least_chars).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("firsts"))
+    kept = first_lines(docs, edits=edits, least_chars=least_chars, least_exact=least_exact).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("firsts"))
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("all", F.split("text", "\n", -1))
     firsts = F.coalesce("firsts", F.array().cast("array<int>"))
-    taken = F.filter("all", lambda x, i: (F.length(x) < least_chars) | ~x.rlike(r"\S") | F.array_contains(firsts, i))
+    taken = F.filter("all", lambda x, i: (F.length(x) < _least_exact(least_chars, least_exact)) | ~x.rlike(r"\S") | F.array_contains(firsts, i))
     rows = rows.withColumn("kept", taken)
     n = F.coalesce(F.size("all"), F.lit(0))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
@@ -169,4 +174,4 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every document without the lines that were seen before."""
-    return without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_exact=1)
