@@ -6,13 +6,14 @@ In each slot the released block with the earliest deadline goes next. On one pro
 keeps every deadline (Baruah et al., 1996), so at any slot each source is less than one block
 away from its share.
 
-Weights are whole tickets, so the schedule repeats after as many slots as there are tickets: the
-driver simulates one period, and a block's slot follows from its number by arithmetic. When
-a source runs out, a new phase starts with the tickets of those that are left; there are
-at most as many phases as sources. All rows keep a place: none is dropped or repeated.
-
-Only the counts of rows by source and the periods (sources x tickets rows at most) are on
-the driver. Rows are numbered within their source over hash buckets, so that a source with a
+Weights are exact whole numbers, never rounded. Where their sum over the common divisor is at
+most ``LONGEST_PERIOD`` (and the blocks left), the schedule repeats after so many slots: the driver simulates one
+period, and a block's slot follows from its number by arithmetic. Otherwise it simulates the whole
+phase. When a source runs out, a new phase starts with the weights of those that are left; there
+are at most as many phases as sources. All rows keep a place: none is dropped or repeated.
+
+Only the counts of rows by source and the slots of the phases (8 bytes for each block at most)
+are on the driver and in a broadcast. Rows are numbered within their source over hash buckets, so that a source with a
 third of all rows is no hot key.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +33,20 @@ from keyloom.operators.grouping import numbered
 from keyloom.plans.workspace import arrow_map, stored
 
 BLOCK_ROWS, TICKETS, MOST_SOURCES = 16, 1000, 1_000
+LONGEST_PERIOD = 1 << 14
 
 
-def period(tickets: list[int]) -> list[int]:
+def period(tickets: list[int], blocks: list[int] | None = None) -> list[int]:
     """The source of each slot of one period (sum of tickets) under earliest deadline first.
 
-    Equal deadlines: the source with more tickets, then the earlier one, goes first.
+    With ``blocks``, the slots until the first source has had so many. Equal deadlines: the
+    source with more tickets, then the earlier one, goes first.
     """
     total, waiting, ready, out = sum(tickets), [], [], []
     for i, q in enumerate(tickets):
         if q:
             heapq.heappush(waiting, (0, i, 1))
-    for slot in range(total):
+    for slot in range(total if blocks is None else min(total, sum(blocks))):
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-j * total // tickets[i]), -tickets[i], i, j))
@@ -51,21 +56,20 @@ def period(tickets: list[int]) -> list[int]:
         if slot >= due:
             raise AssertionError("deadline missed")
         out.append(i)
+        if blocks is not None and j == blocks[i]:
+            break
         if j < tickets[i]:
             heapq.heappush(waiting, (j * total // tickets[i], i, j + 1))
     return out
 
 
 def tickets_of(weights: dict[str | None, float], sources: list[str | None], tickets: int = TICKETS) -> list[int]:
-    """Whole tickets for each source, at least one, by largest remainders."""
-    own = np.array([max(0.0, float(weights.get(s, 0.0))) for s in sources])
-    if not own.sum():
-        own[:] = 1.0
-    exact = own / own.sum() * max(tickets, len(sources))
-    whole = np.floor(exact).astype(int)
-    for i in np.argsort(-(exact - whole), kind="stable")[: max(0, max(tickets, len(sources)) - whole.sum())]:
-        whole[i] += 1
-    return np.maximum(whole, 1).tolist()
+    """Whole numbers in exactly the proportion of the weights; without one, a share of one in ``tickets`` of their sum."""
+    own = [Fraction(max(0.0, float(weights.get(s, 0.0)))) for s in sources]
+    least = sum(own) / tickets or Fraction(1)
+    own = [w or least for w in own]
+    scale = lcm(*[w.denominator for w in own])
+    return [int(w * scale) for w in own]
 
 
 def tempered(rows: dict[str | None, int], power: float = 0.5) -> dict[str | None, float]:
@@ -90,15 +94,18 @@ def phases(rows: list[int], tickets: list[int], block_rows: int = BLOCK_ROWS) ->
     served, out, slot, row = np.zeros(len(rows), np.int64), [], 0, 0
     while (served < blocks).any():
         active = [i for i in range(len(rows)) if served[i] < blocks[i]]
-        common = int(np.gcd.reduce([tickets[i] for i in active]))
-        q = [tickets[i] // common for i in active]
-        order = np.array(period(q))
-        length, slots = sum(q), [np.zeros(0, np.int64)] * len(rows)
+        common = gcd(*[tickets[i] for i in active])
+        q, left = [tickets[i] // common for i in active], [int(blocks[i] - served[i]) for i in active]
+        periodic = sum(q) <= min(LONGEST_PERIOD, sum(left))
+        order = np.array(period(q, None if periodic else left))
+        length, slots = len(order), [np.zeros(0, np.int64)] * len(rows)
         ends = []
         for k, i in enumerate(active):
             slots[i] = np.flatnonzero(order == k)
-            last = blocks[i] - served[i] - 1
-            ends.append(int(last // q[k] * length + slots[i][last % q[k]]) + 1)
+            if periodic:
+                ends.append(int((left[k] - 1) // q[k] * length + slots[i][(left[k] - 1) % q[k]]) + 1)
+            else:
+                ends.append(length if order[-1] == k else length + 1)
         stop = min(ends)
         out.append(Phase(slot, row, length, served.copy(), slots))
         for i in active:
@@ -114,9 +121,9 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id
 
     ``block`` counts within the source, ``slot`` over all blocks, ``position`` (from 0, dense) over
     all rows. ``weights`` are the targets; without them, the square roots of the sizes. A
-    source without a weight gets one ticket; null is a source of its own. Repeated rows
-    get places of their own; null ids too. An empty input gives no rows. Other columns are ignored,
-    whatever their names. More than ``MOST_SOURCES`` sources raise an error.
+    source without a weight gets one part in ``tickets`` of the others' sum; null is a source of
+    its own. Repeated rows get places of their own; null ids too. An empty input gives no rows.
+    Other columns are ignored, whatever their names. More than ``MOST_SOURCES`` sources raise an error.
     """
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source")), "sources")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
