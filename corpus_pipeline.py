@@ -8,6 +8,7 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.llm import best_fit_packing, boosted_quality, exact_dedup, ngram_jaccard_join, pfair_mixing
 from keyloom.plans.workspace import stored
@@ -34,8 +35,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 2048 tokens."""
-    return best_fit_packing.pack(docs, best_fit_packing.default_vocabulary())
+    """The pieces of all documents, in sequences of at most 2048 tokens that follow the mixture.
+
+    Files keep no order that a reader could rely on, so the places are computed again: they
+    depend on the documents' ids and sources only.
+    """
+    places = stored(pfair_mixing.mixed(docs).groupBy("doc_id").agg(F.min("position").alias("position")), "places")
+    return best_fit_packing.pack(docs, best_fit_packing.default_vocabulary(), places=places)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

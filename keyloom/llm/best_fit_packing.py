@@ -233,9 +233,12 @@ def placements(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
     return {s: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for s, r in runs.items()}
 
 
-def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", places: DataFrame | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    With ``places`` (doc_id, position from 0, one for each id), pieces of equal length are packed in
+    the order of position, and sequences are numbered by the mean position of their ids.
+
     Null text is empty; an empty document is the single id 0. Only documents of more than
     ``capacity`` ids are cut. A repeated row is packed as often as it occurs; a null id is
     kept. An empty input gives no rows. Other columns are ignored, whatever their names.
@@ -257,8 +260,19 @@ def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, buckets:
                 offsets[own] = offset[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "__number", buckets=buckets)
-    return arrow_map(ranked, place, f"{PIECES}, sequence_id long, offset long")
+    schema = f"{PIECES}, sequence_id long, offset long"
+    if places is None:
+        return arrow_map(numbered(pieces, ["length"], ["doc_id", "piece"], "__number", buckets=buckets), place, schema)
+    at, share = F.col("__at_doc"), lambda c, n: F.floor(c * buckets / F.lit(n)).cast("int")
+    n = (places.agg(F.max("position")).first()[0] or 0) + 1
+    here = places.select(F.col("doc_id").alias("__id"), F.col("position").alias("__at_doc"))
+    placed = stored(pieces.join(here, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id"), "placed")
+    ranked = numbered(placed, ["length"], ["__at_doc", "doc_id", "piece"], "__number", buckets=buckets, bucket=share(at, n)).drop("__at_doc")
+    whole = stored(arrow_map(ranked, place, schema), "packed")
+    means = whole.join(here, F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("sequence_id").agg((F.sum(at * F.col("length")) / F.sum("length")).alias("__mean"))
+    order = numbered(stored(means, "means"), [], ["__mean", "sequence_id"], "__sequence", buckets=buckets, bucket=share(F.col("__mean"), n))
+    named = order.select("sequence_id", "__sequence")
+    return whole.join(named, "sequence_id").select(*whole.columns[:5], F.col("__sequence").alias("sequence_id"), "offset")
 
 
 def default_vocabulary() -> str:

@@ -21,17 +21,18 @@ def salts_of(mask: str, salts: int = 64) -> Column:
     return F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftrightunsigned({mask}, s) & 1L) = 1L)")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, *, buckets: int) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, *, buckets: int, bucket: Column | None = None) -> DataFrame:
     """``df`` plus ``name``: a dense number from 0 within each ``keys``, in a stable order.
 
     Rows are dealt into ``buckets`` hash buckets of ``order``; numbers are given inside each
     (keys, bucket) and moved by the sizes of the buckets before it. A key that holds a third
     of all rows is so numbered by ``buckets`` tasks; only the table of bucket sizes (keys x
     buckets rows) is ordered by key alone. Rows equal in ``keys`` and ``order`` get distinct
-    numbers. Null keys form a group of their own.
+    numbers. Null keys form a group of their own. With ``bucket``, a number that never falls along
+    ``order``, rows are dealt by it, and the numbers follow ``order`` over all buckets.
     """
     b, at, n, start = "__bucket", "__at", "__n", "__start"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     sizes = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
