@@ -49,7 +49,8 @@ def complete(batch: Batch, table: DataFrame, s: Snapshot, *, hops: int = HOPS) -
         asked = stored(wanted, "asked")
         visited = visited.unionByName(asked.select("hub", "kind", "value"))
         asked = H.numbered_requests(asked.join(blocked, ["canonical_id", "hub"], "left_anti"), "seq", ["kind", "value", "place"])
-        asked = asked.withColumn("rid", F.col("seq") * FAN + F.col("n"))
+        fan = max(FAN, (asked.agg(F.max("n")).first()[0] or 0) + 1)  # no cluster's requests reach into the next one's
+        asked = asked.withColumn("rid", F.col("seq") * fan + F.col("n"))
         got = stored(H.harvested(asked.select("rid", "hub", "kind", "value"), table), "harvest")
         if got.isEmpty():
             break
