@@ -8,6 +8,14 @@ substrings that could be such a segment of a line as long as itself or shorter b
 with the bits of a band of 2 * edits + 1 diagonals in one integer per character. Linked lines form
 classes; of each class the first occurrence stays.
 
+That bound is absolute. Lines of ``LEAST_WORDS`` words and more are linked by a bound that grows
+with them, too: one word edit (a word replaced, inserted or removed) for every ``WORDS_AN_EDIT``
+words of the longer line, at least one. One edit leaves half of the other words in common at the beginning
+or at the end, and lines meet by these. More edits leave at least ``WINDOW + GRAM - 1`` words in a
+row (pigeonhole); both lines choose the same word gram in them, the one with the least hash in each
+window (winnowing), and meet there. The distance is then found by furthest reaching
+diagonals, one round per edit. Words are compared by 64-bit hashes.
+
 Equal lines are one line from the start, compared by their text. Keys are hashes, so the join
 moves three numbers per substring; lines come to the candidates only where there are any.
 """
@@ -21,6 +29,9 @@ from keyloom.operators.components import connected_components
 from keyloom.plans.workspace import stored
 
 EDITS, LEAST_CHARS = 2, 24
+LEAST_WORDS, WORDS_AN_EDIT = 10, 20
+GRAM, WINDOW = 5, 9  # two edits in 40 words leave 13 in a row; no longer line within its bound has fewer
+UNSPACED = r"\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"  # each character is a word
 BLOCK, LONGEST_BIT = 8, 30  # columns of the table at a time; strings have fewer than 2**31 characters
 
 
@@ -119,19 +130,71 @@ def _least_exact(least_chars: int, least_exact: int | None) -> int:
     return least_chars if least_exact is None else min(least_exact, least_chars)
 
 
+def words_sql(line: str = "line") -> str:
+    """SQL for the hashes of a line's words; white space between them does not count."""
+    pattern = f"[{UNSPACED}]|[^\\s{UNSPACED}]+".replace("\\", "\\\\")
+    return f"transform(regexp_extract_all({line}, '{pattern}', 0), word -> xxhash64(word))"
+
+
+def word_edits_sql(n: str) -> str:
+    """SQL for the word edits allowed where the longer line has ``n`` words."""
+    return f"cast(greatest(1, {n} div {WORDS_AN_EDIT}) as int)"
+
+
+def word_keys(words: str = "words") -> str:
+    """SQL for the keys of an array of words; none for short ones."""
+    n, two, none = f"size({words})", 2 * WORDS_AN_EDIT, "cast(array() as array<bigint>)"
+    # halves as the longer line (n - 1) div 2 and as the shorter one of n + 1 words: n div 2
+    halves = [f"cast(({n} - 1) div 2 as int)", f"cast({n} div 2 as int)"]
+    ends = ", ".join(f"xxhash64({side}, {half}, slice({words}, {start}, {half}))" for half in halves for side, start in enumerate(("1", f"{n} - {half} + 1")))
+    grams = f"transform(sequence(0, {n} - {GRAM}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(GRAM))}))"
+    chosen = _let(grams, "g", f"transform(sequence(1, size(g) - {WINDOW - 1}), i -> array_min(slice(g, i, {WINDOW})))")
+    # the shorter line of a pair may be two words shorter than 40
+    return f"array_distinct(concat(if({n} >= {LEAST_WORDS} and {n} < {two}, array({ends}), {none}), if({n} >= {two - 2}, {chosen}, {none})))"
+
+
+def words_within_sql(x: str = "x", y: str = "y") -> str:
+    """SQL: are two arrays of words within the word edits allowed to the longer one?
+
+    Element d + t + 1 of ``f`` is how far into ``x`` so many edits reach on diagonal d, the place in
+    ``x`` less the place in ``y``; each round adds an edit and follows the equal words after it.
+    """
+    m, n, none = f"size({x})", f"size({y})", -(1 << 30)
+    most = word_edits_sql(f"greatest({m}, {n})")
+    run = lambda size: f"array_position(zip_with(slice({x}, at + 1, {size}), slice({y}, at - d + 1, {size}), (p, q) -> p <> q), true)"
+    room = f"least({m} - at, {n} - at + d)"
+    follow = _let(room, "room", _let(run(f"least({BLOCK}, room)"), "k", f"at + if(k > 0, k - 1, if(room <= {BLOCK}, room, {_let(run('room'), 'l', 'if(l > 0, l - 1, room)')}))"))
+    slide = lambda at: _let(at, "at", f"if(at < 0 or at < d or at > {m} or at - d > {n}, {none}, {follow})")
+    diagonals = "sequence(-t, t)"
+    start = f"transform({diagonals}, d -> cast(if(d = 0, {slide('0')}, {none}) as int))"
+    # in order: a word replaced, one of x removed, one of y inserted
+    ways = f"greatest(least(s[d + t] + 1, {m}, {n} + d), if(d > -t, least(s[d + t - 1] + 1, {m}), {none}), if(d < t, least(s[d + t + 1], {n} + d), {none}))"
+    step = f"transform({diagonals}, d -> cast({slide(ways)} as int))"
+    done = f"s[{m} - {n} + t] >= {m}"
+    search = f"aggregate(sequence(1, t), {start}, (s, e) -> if({done}, s, {step}), s -> {done})"
+    near = f"abs({m} - {n}) <= t and size(array_except({x}, {y})) <= t and size(array_except({y}, {x})) <= t"
+    return f"least({m}, {n}) >= {LEAST_WORDS} and {_let(most, 't', f'if({near}, {search}, false)')}"
+
+
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): digests of different lines within ``edits`` edits. ``lines`` has a column line."""
+    """(a, b): digests of different lines within ``edits`` edits or the word edits allowed. ``lines`` has a column line."""
     distinct = lines.select(F.xxhash64("line").alias("h"), "line").distinct().withColumn("n", F.length("line"))
     arrays = [F.expr(f"array({', '.join(make(edits))})").alias(name) for name, make in (("index", index_keys), ("probe", probe_keys))]
-    keys = stored(distinct.select("h", *arrays), "keys")  # the lines themselves are not moved again for this
+    words = F.expr(_let(words_sql(), "words", f"named_struct('n', size(words), 'grams', {word_keys()})")).alias("words")
+    keys = stored(distinct.select("h", *arrays, words), "keys")  # the lines themselves are not moved again for this
     index = keys.select("h", F.explode("index").alias("key"))
     probe = keys.select("h", F.explode("probe").alias("key")).filter("key is not null")
-    met = index.join(probe.withColumnRenamed("h", "g"), "key").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    met = stored(met, "candidates")
+    met = index.join(probe.withColumnRenamed("h", "g"), "key").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g"))
+    grams = keys.select("h", F.col("words.n").alias("n_words"), F.explode("words.grams").alias("key"))
+    others = grams.select(F.col("h").alias("g"), F.col("n_words").alias("m_words"), "key")
+    alike = grams.join(others, "key").filter(f"h < g and abs(n_words - m_words) <= {word_edits_sql('greatest(n_words, m_words)')}").select("h", "g")
+    # one after the other, so that the shuffles of the first are gone before the second
+    met = stored(stored(met.distinct(), "close").unionByName(stored(alike.distinct(), "alike")).distinct(), "candidates")
     needed = met.select("h").union(met.select("g")).distinct()
     texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed.hint("merge"), "h", "left_semi").distinct(), "lines")
     both = met.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
-    near = within(both.select("p", "q"), edits)
+    by_words = _let(f"named_struct('x', {words_sql('p')}, 'y', {words_sql('q')})", "w", words_within_sql("w.x", "w.y"))
+    near = both.filter(F.expr(f"{by_words} or if(abs(length(p) - length(q)) <= {edits}, {within_sql(edits)}, false)"))
     return stored(near.select(_digest("p").alias("a"), _digest("q").alias("b")), "linked")
 
 

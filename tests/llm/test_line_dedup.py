@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 from keyloom.llm import line_dedup as L
 
 
@@ -6,3 +9,50 @@ def test_short_lines_by_equal_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in L.query(spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert got == [(1, 4, 1, "All rights reserved.\n\nWh the."), (2, 4, 1, "All rights reserved!\n\nx"), (3, 2, 1, "  ")]
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def changed(words, k):
+    words = list(words)
+    for _ in range(k):
+        i, r = random.randrange(len(words)), random.random()
+        words[i : i + 1] = [] if r < 0.3 else [words[i], random.choice(WORDS)] if r < 0.6 else [random.choice(WORDS)]
+    return words
+
+
+WORDS = [f"{a}{b}{c}ing" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+
+
+def test_bound_grows_with_the_line(spark):
+    random.seed(11)
+    base = [[random.choice(WORDS) for _ in range(n)] for n in (9, 10, 11, 18, 19, 20, 21, 39, 40, 41, 60, 79, 80, 130)]
+    lines = [w for b in base for k in (0, 1, 1, 1, 2, 2, 3, 4, 5, 7) for w in [changed(b, k)]] + [[random.choice(WORDS) for _ in range(random.randint(9, 40))] for _ in range(40)]
+    lines = sorted({" ".join(w) for w in lines})
+    want = set()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            m, n = len(a.split()), len(b.split())
+            words = min(m, n) >= 10 and distance(a.split(), b.split()) <= max(1, max(m, n) // 20)
+            if words or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2):
+                want.add(frozenset(hashlib.md5(x.encode()).digest() for x in (a, b)))
+    got = L.linked_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert {frozenset((bytes(r.a), bytes(r.b))) for r in got} == want and len(want) > 100
+
+
+def test_long_lines_with_a_changed_word(spark):
+    random.seed(12)
+    text = [random.choice(WORDS) for _ in range(45)]
+    other = " ".join([*text[:20], "replacement", *text[21:]])
+    unspaced = "".join(chr(0x4E00 + random.randrange(3000)) for _ in range(80))
+    docs = [(1, " ".join(text)), (2, other), (3, unspaced), (4, unspaced[:30] + "漢字漢字"[:4] + unspaced[34:])]
+    got = {r.doc_id: r.n_dropped for r in L.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
