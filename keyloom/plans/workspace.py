@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -48,7 +49,7 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 
     Preferable to :func:`cut` where later readers need only some of the columns. The files go
-    when the driver's JVM ends.
+    with :func:`discard`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{label}-{uuid.uuid4().hex}"
@@ -61,7 +62,22 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`stored` gave and that nobody reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_keyloom_path", None):
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows (counted), else for a merge join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 _SHIPPED: set[str] = set()
