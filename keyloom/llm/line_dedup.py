@@ -11,13 +11,22 @@ classes; of each class the first occurrence stays.
 That bound is absolute. Lines of ``LEAST_WORDS`` words and more are linked by a bound that grows
 with them, too: one word edit (a word replaced, inserted or removed) for every ``WORDS_AN_EDIT``
 words of the longer line, at least one. One edit leaves half of the other words in common at the beginning
-or at the end, and lines meet by these. More edits leave at least ``WINDOW + GRAM - 1`` words in a
-row (pigeonhole); both lines choose the same word gram in them, the one with the least hash in each
-window (winnowing), and meet there. The distance is then found by furthest reaching
+or at the end, and lines of fewer than ``LONG`` words meet by these two segments. In longer lines
+the segments are all runs of ``RUN`` words among those of ``TELLING`` letters and more (an edit of the line is one of that
+sequence at most), in the order of their hashes: edits that spoil d of them leave one
+that both lines have among their first d + 1, and lines meet by those. Lines with too few such words, and those
+that may have a partner with too few, meet by runs of ``GRAM`` of all words as well. These cover the bound in characters, too, so
+long lines need no segments of characters. The distance in words is found by furthest reaching
 diagonals, one round per edit. Words are compared by 64-bit hashes.
 
-Equal lines are one line from the start, compared by their text. Keys are hashes, so the join
-moves three numbers per substring; lines come to the candidates only where there are any.
+A class needs links that connect it, not all of its links. So the lines that share a key are first
+compared with one of them, the most frequent. Where the links found leave the
+lines of a key in several components, the pairs between components are compared as well. Pairs whose
+numbers of words, or parities of words and characters, allow no link are passed over before their texts are read.
+
+Equal lines are one line from the start, compared by their 128-bit digests. Keys are 64-bit hashes, so the join
+moves two numbers per substring; texts come to the candidates only. (Two lines with one 64-bit hash
+would count as one in the lists of keys only, never in the classes.)
 """
 
 from __future__ import annotations
@@ -26,13 +35,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.components import connected_components
-from keyloom.plans.workspace import stored
+from keyloom.plans.workspace import discard, small, stored
 
 EDITS, LEAST_CHARS = 2, 24
-LEAST_WORDS, WORDS_AN_EDIT = 10, 20
-GRAM, WINDOW = 5, 9  # two edits in 40 words leave 13 in a row; no longer line within its bound has fewer
+LEAST_WORDS, WORDS_AN_EDIT, LONG = 10, 20, 40
+GRAM, RUN, TELLING = 4, 3, 6  # GRAM is a power of 2
+SPOILT = 3  # words that one character edit can spoil: a character that is a word by itself goes between two others
 UNSPACED = r"\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"  # each character is a word
 BLOCK, LONGEST_BIT = 8, 30  # columns of the table at a time; strings have fewer than 2**31 characters
+MOST_BROADCAST = 1_000_000  # rows of two numbers
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +68,7 @@ def index_keys(edits: int, line: str = "line", n: str = "n") -> list[str]:
 
 
 def probe_keys(edits: int, line: str = "line", n: str = "n") -> list[str]:
-    """SQL for the probe keys of a line, for partners as long or shorter by up to ``edits``."""
+    """SQL for the probe keys of a line beside its index keys, for partners as long or shorter by up to ``edits``."""
     out = []
     for d in range(edits + 1):
         partner = f"({n} - {d})"
@@ -65,6 +76,8 @@ def probe_keys(edits: int, line: str = "line", n: str = "n") -> list[str]:
             start, size = _segment(k, edits + 1, partner)
             low, high = max(-k, d - (edits - k)), min(k, d + (edits - k))
             for move in range(low, high + 1):
+                if d == move == 0:
+                    continue  # its own index key
                 out.append(f"if({start} + {move} between 1 and {n} - {size} + 1, xxhash64({k}, {partner}, substring({line}, {start} + {move}, {size})), null)")
     return out
 
@@ -123,17 +136,25 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def _eligible(lines: DataFrame, least_chars: int) -> DataFrame:
-    return lines.filter((F.length("line") >= least_chars) & F.col("line").rlike(r"\S"))
+    return lines.filter((F.length("line") >= least_chars) & F.expr(r"trim(leading ' \t\n\u000b\u000c\r' from line) <> ''"))
 
 
 def _least_exact(least_chars: int, least_exact: int | None) -> int:
     return least_chars if least_exact is None else min(least_exact, least_chars)
 
 
-def words_sql(line: str = "line") -> str:
-    """SQL for the hashes of a line's words; white space between them does not count."""
+def split_sql(line: str = "line") -> str:
+    """SQL for a line's words; white space between them does not count."""
     pattern = f"[{UNSPACED}]|[^\\s{UNSPACED}]+".replace("\\", "\\\\")
-    return f"transform(regexp_extract_all({line}, '{pattern}', 0), word -> xxhash64(word))"
+    plain = f"array_remove(split({line}, ' '), '')"  # most lines: single characters are cut without a pattern
+    spaces = " or ".join(rf"contains({line}, '{c}')" for c in (r"\t", r"\u000b", r"\u000c", r"\r", r"\n"))
+    odd = f"if(octet_length({line}) = length({line}), {spaces}, {line} rlike '[\\\\t\\\\x0b\\\\f\\\\r\\\\n{UNSPACED.replace(chr(92), chr(92) * 2)}]')"
+    return f"if({odd}, regexp_extract_all({line}, '{pattern}', 0), {plain})"
+
+
+def words_sql(line: str = "line") -> str:
+    """SQL for the hashes of a line's words."""
+    return f"transform({split_sql(line)}, word -> xxhash64(word))"
 
 
 def word_edits_sql(n: str) -> str:
@@ -141,23 +162,66 @@ def word_edits_sql(n: str) -> str:
     return f"cast(greatest(1, {n} div {WORDS_AN_EDIT}) as int)"
 
 
-def word_keys(words: str = "words") -> str:
-    """SQL for the keys of an array of words; none for short ones."""
-    n, two, none = f"size({words})", 2 * WORDS_AN_EDIT, "cast(array() as array<bigint>)"
+def _beside(array: str, step: int, both: str) -> str:
+    """SQL: ``both`` of each element p of an array and the one q that is ``step`` further on."""
+    return f"zip_with(slice({array}, 1, size({array}) - {step}), slice({array}, 1 + {step}, size({array}) - {step}), (p, q) -> {both})"
+
+
+def half_keys(words: str = "words") -> str:
+    """SQL for the keys of the beginning and the end of an array of words."""
+    n = f"size({words})"
     # halves as the longer line (n - 1) div 2 and as the shorter one of n + 1 words: n div 2
     halves = [f"cast(({n} - 1) div 2 as int)", f"cast({n} div 2 as int)"]
     ends = ", ".join(f"xxhash64({side}, {half}, slice({words}, {start}, {half}))" for half in halves for side, start in enumerate(("1", f"{n} - {half} + 1")))
-    grams = f"transform(sequence(0, {n} - {GRAM}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(GRAM))}))"
-    chosen = _let(grams, "g", f"transform(sequence(1, size(g) - {WINDOW - 1}), i -> array_min(slice(g, i, {WINDOW})))")
-    # the shorter line of a pair may be two words shorter than 40
-    return f"array_distinct(concat(if({n} >= {LEAST_WORDS} and {n} < {two}, array({ends}), {none}), if({n} >= {two - 2}, {chosen}, {none})))"
+    return f"array_distinct(array({ends}))"
+
+
+def _grams(words: str, body: str) -> str:
+    """SQL: ``body`` of the hashes of all runs of ``GRAM`` words, found by doubling."""
+    out = body.format(f"grams{GRAM}")
+    for i in reversed(range(GRAM.bit_length() - 1)):
+        out = _let(_beside(words if i == 0 else f"grams{1 << i}", 1 << i, "xxhash64(p, q)"), f"grams{2 << i}", out)
+    return out
+
+
+def _most_edits(n: str) -> str:
+    """SQL for the word edits allowed to a line of ``n`` words and the longest partner it may have."""
+    return word_edits_sql(f"({n} * {WORDS_AN_EDIT} div {WORDS_AN_EDIT - 1})")
+
+
+def _first(runs: str, width: int, edits: int, n: str) -> str:
+    """SQL for the first of an array of runs of ``width`` words: as many as edits can spoil, and one."""
+    return f"slice(sort_array(array_distinct({runs})), 1, greatest({(SPOILT + width - 1) * edits}, {width} * {_most_edits(n)}) + 1)"
+
+
+def run_keys(edits: int, telling: str, n: str) -> str:
+    """SQL for the keys of the telling words of a line of ``n`` words."""
+    three = _let(_beside(telling, 1, "xxhash64(p, q)"), "two", _first(_beside_two("two", telling), RUN, edits, n))
+    return f"if(size({telling}) < {RUN}, array(), {three})"
+
+
+def _beside_two(two: str, words: str) -> str:
+    return f"zip_with(slice({two}, 1, size({two}) - 1), slice({words}, 3, size({words}) - 2), (p, q) -> xxhash64(p, q))"
+
+
+def needs_grams(edits: int, telling: str, n: str) -> str:
+    """SQL: may a line of ``n`` words, or a partner of it, have too few telling words to share a run of them?"""
+    spoilt = f"greatest({(SPOILT + RUN - 1) * edits}, {RUN} * {_most_edits(n)})"
+    return f"size({telling}) <= {spoilt} + {RUN - 1} + greatest({SPOILT * edits}, {_most_edits(n)})"
+
+
+def gram_keys(edits: int, words: str, n: str) -> str:
+    """SQL for the keys of all words of a line."""
+    return _grams(words, _first("{}", GRAM, edits, n))
 
 
 def words_within_sql(x: str = "x", y: str = "y") -> str:
     """SQL: are two arrays of words within the word edits allowed to the longer one?
 
-    Element d + t + 1 of ``f`` is how far into ``x`` so many edits reach on diagonal d, the place in
-    ``x`` less the place in ``y``; each round adds an edit and follows the equal words after it.
+    After e edits, element d + e + 1 of the state is how far into ``x`` so many edits reach on diagonal d, the place in
+    ``x`` less the place in ``y``; each round adds an edit and follows the equal words after it. First, the words
+    of one that the other lacks, and its runs of words, must be as few as so many edits can make them, and in
+    order of size no word may lie further ahead.
     """
     m, n, none = f"size({x})", f"size({y})", -(1 << 30)
     most = word_edits_sql(f"greatest({m}, {n})")
@@ -165,37 +229,125 @@ def words_within_sql(x: str = "x", y: str = "y") -> str:
     room = f"least({m} - at, {n} - at + d)"
     follow = _let(room, "room", _let(run(f"least({BLOCK}, room)"), "k", f"at + if(k > 0, k - 1, if(room <= {BLOCK}, room, {_let(run('room'), 'l', 'if(l > 0, l - 1, room)')}))"))
     slide = lambda at: _let(at, "at", f"if(at < 0 or at < d or at > {m} or at - d > {n}, {none}, {follow})")
-    diagonals = "sequence(-t, t)"
-    start = f"transform({diagonals}, d -> cast(if(d = 0, {slide('0')}, {none}) as int))"
+    start = f"transform(sequence(0, 0), d -> cast({slide('0')} as int))"
     # in order: a word replaced, one of x removed, one of y inserted
-    ways = f"greatest(least(s[d + t] + 1, {m}, {n} + d), if(d > -t, least(s[d + t - 1] + 1, {m}), {none}), if(d < t, least(s[d + t + 1], {n} + d), {none}))"
-    step = f"transform({diagonals}, d -> cast({slide(ways)} as int))"
-    done = f"s[{m} - {n} + t] >= {m}"
+    ways = f"greatest(if(abs(d) < e, least(s[d + e - 1] + 1, {m}, {n} + d), {none}), if(d > 1 - e, least(s[d + e - 2] + 1, {m}), {none}), if(d < e - 1, least(s[d + e], {n} + d), {none}))"
+    step = f"transform(sequence(-e, e), d -> cast({slide(ways)} as int))"
+    done = _let("size(s) div 2", "r", f"abs({m} - {n}) <= r and s[{m} - {n} + r] >= {m}")
     search = f"aggregate(sequence(1, t), {start}, (s, e) -> if({done}, s, {step}), s -> {done})"
-    near = f"abs({m} - {n}) <= t and size(array_except({x}, {y})) <= t and size(array_except({y}, {x})) <= t"
-    return f"least({m}, {n}) >= {LEAST_WORDS} and {_let(most, 't', f'if({near}, {search}, false)')}"
-
-
-def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): digests of different lines within ``edits`` edits or the word edits allowed. ``lines`` has a column line."""
-    distinct = lines.select(F.xxhash64("line").alias("h"), "line").distinct().withColumn("n", F.length("line"))
-    arrays = [F.expr(f"array({', '.join(make(edits))})").alias(name) for name, make in (("index", index_keys), ("probe", probe_keys))]
-    words = F.expr(_let(words_sql(), "words", f"named_struct('n', size(words), 'grams', {word_keys()})")).alias("words")
-    keys = stored(distinct.select("h", *arrays, words), "keys")  # the lines themselves are not moved again for this
-    index = keys.select("h", F.explode("index").alias("key"))
-    probe = keys.select("h", F.explode("probe").alias("key")).filter("key is not null")
-    met = index.join(probe.withColumnRenamed("h", "g"), "key").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g"))
-    grams = keys.select("h", F.col("words.n").alias("n_words"), F.explode("words.grams").alias("key"))
-    others = grams.select(F.col("h").alias("g"), F.col("n_words").alias("m_words"), "key")
-    alike = grams.join(others, "key").filter(f"h < g and abs(n_words - m_words) <= {word_edits_sql('greatest(n_words, m_words)')}").select("h", "g")
-    # one after the other, so that the shuffles of the first are gone before the second
-    met = stored(stored(met.distinct(), "close").unionByName(stored(alike.distinct(), "alike")).distinct(), "candidates")
-    needed = met.select("h").union(met.select("g")).distinct()
-    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed.hint("merge"), "h", "left_semi").distinct(), "lines")
-    both = met.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
+    few = lambda p, q, times: f"size(array_except({p}, {q})) <= {times} * t and size(array_except({q}, {p})) <= {times} * t"
+    room = f"greatest(0, least({m}, {n}) - t)"
+    ahead = lambda p, q: f"array_contains(zip_with(slice(sorted.{p}, 1, {room}), slice(sorted.{q}, 1 + t, {room}), (p, q) -> p > q), true)"
+    ranks = _let(f"named_struct('x', sort_array({x}), 'y', sort_array({y}))", "sorted", f"not ({ahead('x', 'y')} or {ahead('y', 'x')})")
+    grams = _let(f"named_struct('x', {_grams(x, '{}')}, 'y', {_grams(y, '{}')})", "runs", few("runs.x", "runs.y", GRAM))
+    near = f"if(abs({m} - {n}) <= t and {few(x, y, 1)}, if({ranks}, if({grams}, {search}, false), false), false)"
+    return f"if(least({m}, {n}) >= {LEAST_WORDS}, {_let(most, 't', near)}, false)"
+
+
+def line_keys(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``lines`` (line, and any others) with h, id, what a pair is judged by, and the keys.
+
+    ``met`` are keys for both sides; ``short`` is the line where it meets others by segments of characters. ``n_words``,
+    ``words``, ``every`` and ``chars`` are parities: which of 64 classes of telling words, of all words (null for
+    most long lines), of characters (short lines) occur an odd number of times.
+    """
+    near, least = f"n >= {least_chars}", LONG - (SPOILT - 1) * edits  # a partner of a long line may have so few words
+    short = f"{near} and n_words < {max(LONG, 2 * (SPOILT + GRAM - 1) * edits)}"
+    halves = f"if({near} and n_words >= {LEAST_WORDS} and n_words < {LONG}, {half_keys('w')}, array())"
+    runs = f"if({near} and n_words >= {least}, {run_keys(edits, 'telling', 'n_words')}, array())"
+    grams = f"if({near} and n_words >= {least} and w is not null, {gram_keys(edits, 'w', 'n_words')}, array())"
+    parity = "aggregate({}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))"
+    rows = lines.select("*", F.xxhash64("line").alias("h"), _digest("line").alias("id"), F.length("line").alias("n"), F.expr(split_sql()).alias("parts"))
+    rows = rows.selectExpr("*", "size(parts) n_words", f"transform(filter(parts, x -> length(x) >= {TELLING}), x -> xxhash64(x)) telling")
+    rows = rows.selectExpr("*", f"if(n_words < {LONG} or {needs_grams(edits, 'telling', 'n_words')}, transform(parts, x -> xxhash64(x)), null) w")
+    given = [c for c in lines.columns if c != "line"]
+    return rows.selectExpr(
+        *given, "h", "id", "n_words", f"if({near}, {parity.format('telling')}, null) words", f"if({near} and w is not null, {parity.format('w')}, null) every", f"if({short}, {parity.format(SPLIT)}, null) chars",
+        f"concat({halves}, {runs}, {grams}) met", f"if({short}, line, null) short",
+    )
+
+
+SPLIT = "transform(split(line, ''), c -> ascii(c))"
+JUDGED = ["n_words", "words", "every", "chars"]
+
+
+def _array(items: list[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
+def _lists(keys: DataFrame, edits: int) -> DataFrame:
+    """(key, h, own, by_chars, n, and what pairs are judged by): the lines of each key that more than one has.
+
+    ``own``: by a key of its own, not by a probe alone; ``by_chars``: the key is one of characters; ``n``: how
+    often the line occurs, in the lists of its own keys. Counting is partial first, so a key or a line that is everywhere is no hot one.
+    """
+    members = []
+    judged = [F.max(c).alias(c) for c in JUDGED]
+    kind = lambda own, by_chars: [F.lit(own).alias("own"), F.lit(by_chars).alias("by_chars")]
+    short = keys.filter("short is not null").withColumn("n", F.length("short"))
+    for by_chars in (False, True):
+        rows = (short if by_chars else keys).select("h", *JUDGED, F.expr(f"explode({_array(index_keys(edits, 'short'))})" if by_chars else "explode(met)").alias("key"))
+        ends = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+        if by_chars:
+            ends = stored(ends, "index")
+            # each distinct line probes once, however often it occurs
+            once = short.groupBy("h", "short", "n").agg(*judged)
+            probes = once.select("h", *JUDGED, F.expr(f"explode({_array(probe_keys(edits, 'short'))})").alias("key")).filter("key is not null")
+            hits = stored(probes.join(ends, "key").filter("low <> h or high <> h").drop("low", "high"), "hits")
+            members.append(hits.select("key", "h", *kind(False, True), F.lit(1).cast("long").alias("n"), *JUDGED))
+            shared = stored(ends.filter("low <> high").select("key").union(hits.select("key")).distinct(), "shared")
+            discard(ends)
+        else:
+            shared = stored(ends.filter("low <> high").select("key"), "shared")
+        again = rows.join(small(shared, MOST_BROADCAST), "key", "left_semi")
+        members.append(again.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), *judged).select("key", "h", *kind(True, by_chars), "n", *JUDGED))
+    every = members[0]
+    for m in members[1:]:
+        every = every.unionByName(m)
+    return stored(every.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("by_chars").alias("by_chars"), F.max("n").alias("n"), *judged), "lists")
+
+
+def _possible(edits: int) -> str:
+    """SQL: may the lines x and y, which share a key, be linked? An edit of a word flips two parities at most."""
+    allowed = word_edits_sql("greatest(x.n_words, y.n_words)")
+    flips = (SPOILT + 1) * edits
+    by_chars = f"bit_count(x.words ^ y.words) <= {flips} and bit_count(x.chars ^ y.chars) <= {2 * edits}"
+    most = f"if(least(x.n_words, y.n_words) >= {LONG - (SPOILT - 1) * edits}, greatest({allowed}, {-(-flips // 2)}), {allowed})"
+    return f"if(x.by_chars, {by_chars}, abs(x.n_words - y.n_words) <= {most} and bit_count(x.words ^ y.words) <= 2 * {most} and coalesce(bit_count(x.every ^ y.every) <= 2 * {most}, true))"
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(h, g, a, b): the pairs (h, g) whose lines are linked; a and b are the lines' ids."""
+    needed = small(pairs.select(F.explode(F.array("h", "g")).alias("h")).distinct(), MOST_BROADCAST)
+    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed, "h", "left_semi").distinct(), "texts")
+    both = pairs.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
     by_words = _let(f"named_struct('x', {words_sql('p')}, 'y', {words_sql('q')})", "w", words_within_sql("w.x", "w.y"))
-    near = both.filter(F.expr(f"{by_words} or if(abs(length(p) - length(q)) <= {edits}, {within_sql(edits)}, false)"))
-    return stored(near.select(_digest("p").alias("a"), _digest("q").alias("b")), "linked")
+    near = both.filter(F.expr(f"if(abs(length(p) - length(q)) <= {edits}, {within_sql(edits)}, false) or {by_words}"))
+    links = stored(near.select("h", "g", _digest("p").alias("a"), _digest("q").alias("b")), "links")
+    discard(texts)
+    return links
+
+
+def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, b): ids of different lines that are linked; they connect all lines that any links connect.
+
+    ``keys`` is what :func:`line_keys` gives for ``lines`` (line).
+    """
+    lists = _lists(keys, edits)
+    pair = [F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("g")]
+    centres = lists.filter("own").groupBy("key").agg(F.max(F.struct("n", "h", "by_chars", *JUDGED)).alias("c")).select("key", "c.*").alias("x")
+    stars = stored(centres.join(lists.alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {_possible(edits)}")).select(*pair).distinct(), "stars")
+    links = _verified(stars, lines, edits)
+    components = connected_components(links.select("h", "g"), "h", "g")
+    named = stored(lists.join(components, F.col("h") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "h")), "named")
+    discard(lists)
+    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    apart = named.join(open_keys, "key", "left_semi")
+    met = F.expr(f"x.key = y.key and x.component <> y.component and (not y.own or x.h < y.h) and {_possible(edits)}")
+    pairs = apart.filter("own").alias("x").join(apart.alias("y"), met).select(*pair).distinct()
+    rest = stored(pairs.join(stars, ["h", "g"], "left_anti"), "rest")
+    discard(named)
+    return links.unionByName(_verified(rest, lines, edits)).select("a", "b")
 
 
 def _digest(line: str) -> Column:
@@ -205,9 +357,10 @@ def _digest(line: str) -> Column:
 def first_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
     """(doc_id, line_no) of the first line of each class, by id and then place."""
     lines = _eligible(lines_of(docs, id_col, text_col), _least_exact(least_chars, least_exact))
-    classes = connected_components(linked_lines(_eligible(lines, least_chars), edits))
-    place = F.struct("doc_id", "line_no")
-    firsts = lines.groupBy(_digest("line").alias("id")).agg(F.min(place).alias("at"))
+    keys = stored(line_keys(lines, edits, least_chars), "keys")
+    classes = connected_components(connecting_links(lines.filter(F.length("line") >= least_chars), keys, edits))
+    firsts = stored(keys.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "firsts")
+    discard(keys)
     named = firsts.join(classes, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "at")
     return named.groupBy("id").agg(F.min("at").alias("at")).select("at.doc_id", "at.line_no")
 
