@@ -488,13 +488,12 @@ SELECT query_id, CASE WHEN inside = 1 THEN one END AS canonical_id, CASE WHEN in
  (CASE WHEN inside > 1 THEN inside WHEN inside = 0 AND near >= 2 THEN near ELSE 0 END)::BIGINT AS n_candidates FROM q LEFT JOIN m USING (query_id)
 """)
 def name_local_match(spark, d):
-    out = names.resolve_names(_name_queries(spark, d), _named(spark, d))
-    return out.select("query_id", "canonical_id", "reason", F.size("candidates").cast("long").alias("n_candidates"))
+    return names.resolve_names(_name_queries(spark, d), _named(spark, d), listed=False).select("query_id", "canonical_id", "reason", "n_candidates")
 
 
 @registered(f"{_NAMED_SQL} SELECT query_id, coalesce(inside, 0)::BIGINT AS n FROM q LEFT JOIN m USING (query_id)")
 def find_by_name(spark, d):
-    return names.find_by_name(_name_queries(spark, d), _named(spark, d).name_index).select("query_id", F.size("canonical_ids").cast("long").alias("n"))
+    return names.count_by_name(_name_queries(spark, d), _named(spark, d).name_index)
 
 
 @registered("""

@@ -7,8 +7,11 @@ columns of older versions are read as null.
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, fields, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,38 +49,90 @@ def empty(spark: SparkSession) -> Snapshot:
     return Snapshot(**{k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()})
 
 
+class Conflict(RuntimeError):
+    """Another writer published on top of the same version."""
+
+
 class SnapshotStore:
-    """Snapshots below ``path`` (any Hadoop file system)."""
+    """Snapshots below ``path`` (any Hadoop file system).
+
+    Each version is a folder with a name of its own; the marker ``current-N`` says which one is version N, and which
+    batch of each stream it ends with. A marker is created only if it does not exist, so of two writers that
+    build on one version the second gets a :class:`Conflict`, and neither touches the other's files. A marker
+    without content belongs to a writer that has not ended; readers go on with the version before it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._base: int | None = None
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
+    def _marker(self, version: int) -> dict | None:
+        stream = self._fs.open(self._path(f"{self.path}/current-{version}"))
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def _current(self) -> tuple[int, dict]:
+        for v in reversed(self._numbers()):
+            if marker := self._marker(v):
+                return v, marker
+        return 0, {"folder": None, "batches": {}}
 
     def version(self) -> int:
         """The current version; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
-        return max([int(n.removeprefix("current-")) for n in names if n.startswith("current-")], default=0)
+        return self._current()[0]
+
+    def last_batch(self, stream: str) -> int:
+        """The last batch of a stream that the current version holds; -1 before the first."""
+        return self._current()[1]["batches"].get(stream, -1)
 
     def read(self) -> Snapshot:
-        v = self.version()
-        if not v:
+        """The current version; a later :meth:`publish` builds on it."""
+        self._base, marker = self._current()
+        if not self._base:
             return empty(self.spark)
         out = {}
         for name, ddl in SCHEMAS.items():
             want = self.spark.createDataFrame([], ddl)
-            got = self.spark.read.parquet(f"{self.path}/v{v}/{name}")
+            got = self.spark.read.parquet(f"{self.path}/{marker['folder']}/{name}")
             out[name] = want.unionByName(got, allowMissingColumns=True).select(*want.columns)
         return Snapshot(**out)
 
-    def publish(self, snapshot: Snapshot) -> int:
-        """Writes the next version and makes it current by creating its marker, which is atomic."""
-        v = self.version() + 1
+    def publish(self, snapshot: Snapshot, *, stream: str | None = None, batch: int | None = None) -> int:
+        """Writes the version after the one last read (or the current one) and makes it current.
+
+        With ``stream`` and ``batch`` the version records that it holds this batch.
+        """
+        base, marker = self._current()
+        if self._base is not None and self._base != base:
+            raise Conflict(f"version {base} was published after version {self._base} had been read")
+        v, folder = base + 1, f"version-{uuid.uuid4().hex}"
         for f in fields(Snapshot):
-            getattr(snapshot, f.name).write.mode("overwrite").parquet(f"{self.path}/v{v}/{f.name}")
-        if not self._fs.createNewFile(self._path(f"{self.path}/current-{v}")):
-            raise RuntimeError(f"version {v} was published by someone else")
+            getattr(snapshot, f.name).write.parquet(f"{self.path}/{folder}/{f.name}")
+        batches = marker["batches"] | ({stream: batch} if stream is not None else {})
+        try:
+            out = self._fs.create(self._path(f"{self.path}/current-{v}"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {v} was published by someone else") from e
+        try:
+            out.write(bytearray(json.dumps({"folder": folder, "batches": batches}).encode()))
+        finally:
+            out.close()
+        self._base = v
         return v
 
 

@@ -9,25 +9,37 @@ from pyspark.sql.streaming import StreamingQuery
 from keyloom.functions.scalars import outcome_class
 from keyloom.operators.complete import settled
 from keyloom.operators.resolve import resolve_exact
-from keyloom.plans.store import SnapshotStore
+from keyloom.plans.store import Conflict, SnapshotStore
 from keyloom.sources.records import parse
 
 
-def commit_stream(records: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
-    """Commits a stream of (seq, json) batch by batch, each as one new version of the snapshot.
+def commit_batch(batch: DataFrame, batch_id: int, store: SnapshotStore, stream: str, *, attempts: int = 5) -> bool:
+    """Commits one batch of (seq, json) unless the store holds it already; says whether it did.
 
-    A batch that is run again after a failure finds its version published and does nothing:
-    versions are counted from the one that the stream began with.
+    If another writer publishes meanwhile, the batch is committed on top of what that one published.
     """
-    began = store.version()
-
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        if store.version() > began + batch_id:
-            return
+    for attempt in range(attempts):
         snapshot = store.read()
-        store.publish(snapshot.with_clusters(settled(resolve_exact(parse(batch), snapshot.clusters))))
+        if store.last_batch(stream) >= batch_id:
+            return False
+        try:
+            store.publish(snapshot.with_clusters(settled(resolve_exact(parse(batch), snapshot.clusters))), stream=stream, batch=batch_id)
+            return True
+        except Conflict:
+            if attempt + 1 == attempts:
+                raise
+    return False
+
+
+def commit_stream(records: DataFrame, store: SnapshotStore, checkpoint: str, *, stream: str | None = None) -> StreamingQuery:
+    """Commits a stream of (seq, json) batch by batch, each as one new version of the snapshot.
 
-    return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit).start()
+    The version records the stream's name (its checkpoint, if not given) and the number of the batch in one step with the
+    change itself. So a batch that is run again after a failure is passed over exactly if it was
+    published, and versions that others publish between batches make no difference.
+    """
+    name = stream or checkpoint.rstrip("/")
+    return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: commit_batch(batch, batch_id, store, name) and None).start()
 
 
 def windowed_miss_rate(resolutions: DataFrame, *, ts: str = "ts", reason: str = "reason_tag", length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
