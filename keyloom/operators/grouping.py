@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (stem + "_" * i for i in range(len(taken) + 1)) if name.lower() not in taken)
+
+
 def salt(*cols: str | Column, salts: int = 64) -> Column:
     """A stable salt from 0 to ``salts - 1``; recomputing a lost partition gives the same one."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")

@@ -12,7 +12,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +65,27 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._keyloom_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all tables that are stored inside it, except those given to what it yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCRATCH.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCRATCH.pop()
+        discard(*(df for df in own if not any(df is k for k in kept)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables that :func:`stored` gave and that nobody reads any more; others are left alone."""
     for df in tables:
