@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from keyloom.llm.bytetext import Slice, shingles, slices
+from keyloom.operators.grouping import free_name
 from keyloom.plans.workspace import arrow_map
 
 MOST_ROWS = 20_000
@@ -176,13 +177,17 @@ def fitted(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int = DEP
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Is a row kept from learning? A null id is not held out, but has no labels either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``most_rows`` labelled rows that are not held out."""
+    """Statistics and labels of at most ``most_rows`` labelled documents that are not held out.
+
+    An id labelled more than once has its largest label; of rows that repeat an id, the greatest text counts.
+    """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isin(0, 1))
-    own = own.filter(~F.coalesce(held_out("__id"), F.lit(True))).groupBy("__id").agg(F.max("__label").alias("__label"))
+    own = own.filter(~held_out("__id")).groupBy("__id").agg(F.max("__label").alias("__label"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(most_rows)  # the bound of the broadcast
 
     def run(batches):
@@ -192,7 +197,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 y = batch.column(0).slice(part.first, part.n_docs).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([y, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("__label", "text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id")
+    rows = rows.groupBy("__id").agg(F.max("__label").alias("__label"), F.max("text").alias("text")).select("__label", "text")
     found = arrow_map(rows, run, "y int, x array<float>").toArrow()
     y = found.column("y").to_numpy().astype(np.float64)
     x = found.column("x").combine_chunks()
@@ -226,15 +232,23 @@ def scored(docs: DataFrame, forest: Forest, *, text_col: str = "text", name: str
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; labels come from rows not held out."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; labels come from rows not held out.
+
+    Null and empty texts are scored by the statistics of an empty text. Repeated rows stay and score alike; a null id is not
+    held out. Without labels every score is the prior. An empty table gives no rows; other columns are ignored.
+    """
     forest = fit(docs, labels)
     rows = scored(docs.select("doc_id", "text"), forest)
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all their columns."""
-    return scored(docs, fit(docs, labels), name="__score").filter(F.col("__score") >= least).drop("__score")
+    """The rows of ``docs`` that score at least ``least``, with all their columns, whatever their names.
+
+    Null and empty texts are judged like others; repeated rows stay or go together. An empty table stays empty.
+    """
+    own = free_name(docs, "score")
+    return scored(docs, fit(docs, labels), name=own).filter(F.col(own) >= least).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.operators.grouping import salt, salt_mask, salts_of
-from keyloom.plans.workspace import stored
+from keyloom.operators.grouping import free_name, salt, salt_mask, salts_of
+from keyloom.plans.workspace import small, stored
 
+MOST_BROADCAST = 1_000_000  # ids
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,15 +75,25 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col, salts=salts).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    same = Window.partitionBy("__id", normalised(F.col(text_col))).orderBy(F.lit(0))
-    return (
-        docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")))
-        .withColumn("__repeat", F.row_number().over(same))
-        .filter("__repeat = 1")
-        .select(*docs.columns)
-    )
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts (null counts as empty) the row with the largest id stays; of rows that repeat both id and text, one does,
+    any of them if other columns differ. Ids may repeat with other texts: each row is judged by its own text. A null id
+    stays only where a whole group has null ids. An empty table stays empty.
+    """
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, salts=salts)
+    ids = docs.select(F.col(id_col).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        # an id is a row: only those that go are looked up, and texts are not moved again where these are few
+        own = free_name(docs, "id")
+        gone = stored(groups.filter(~F.col("kept")).select(F.col("doc_id").alias(own)), "gone")
+        return docs.join(small(gone, MOST_BROADCAST), F.col(id_col) == F.col(own), "left_anti")
+    own, digest, number = (free_name(docs, x) for x in ("id", "digest", "number"))
+    kept = stored(groups.filter("kept").select(F.col("doc_id").alias(own), F.col("digest").alias(f"{digest}_kept")).distinct(), "kept")
+    rows = docs.withColumn(digest, sha256(normalised(F.col(text_col))))
+    met = rows.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(digest) == F.col(f"{digest}_kept")))
+    same = Window.partitionBy(own, digest, normalised(F.col(text_col))).orderBy(F.lit(0))
+    return met.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

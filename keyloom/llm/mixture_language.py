@@ -25,7 +25,7 @@ from keyloom.llm.bytetext import Slice, slices
 from keyloom.plans.workspace import arrow_map
 
 BITS, MOST_DOCS, ROUNDS, SMOOTH = 15, 20_000, 12, 0.5
-MOST_LANGUAGES = 500
+MOST_CELLS, LEAST_BITS, BLOCK = 1 << 24, 10, 4096  # cells of all tables (4 bytes each in the broadcast)
 UNKNOWN = "und"
 U = np.uint64
 
@@ -79,13 +79,13 @@ class Languages:
     table: np.ndarray
     bits: int
 
-    def infer(self, part: Slice, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language or -1, its proportion) for each document of a slice."""
+    def infer(self, part: Slice, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the first language or -1, its proportion, all proportions) for each document of a slice."""
         k, docs = len(self.names), part.n_docs
-        best, score = np.full(docs, -1), np.zeros(docs)
+        best, score, every = np.full(docs, -1), np.zeros(docs), np.zeros((docs, k))
         code, gram_offsets, run_offsets, hashes = _grams(part, self.bits)
         if not len(hashes) or not k:
-            return best, score
+            return best, score, every
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         own = np.repeat(gram_offsets[first] - np.concatenate([[0], np.cumsum(np.diff(gram_offsets)[first])[:-1]]), np.diff(gram_offsets)[first])
         own = own + np.arange(len(own))
@@ -121,39 +121,43 @@ class Languages:
             chosen[active], proportions[active], reached[active] = more[better], fit[better], gain[better]
         best[has] = proportions.argmax(axis=1)
         score[has] = np.clip(proportions.max(axis=1), 0, 1)
-        return best, score
+        every[has] = proportions
+        return best, score, every
 
     @staticmethod
     def _em(p: np.ndarray, starts: np.ndarray, words: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the allowed languages, and the log likelihood they reach."""
         share = allowed / allowed.sum(axis=1, keepdims=True)
+        still = np.ones(len(words), bool)  # each document ends by itself, so none depends on its neighbours
         for _ in range(rounds):
             r = p * np.repeat(share, words, axis=0)
             total = r.sum(axis=1, keepdims=True)
             r /= np.maximum(total, 1e-300)
             new = np.add.reduceat(r, starts, axis=0) / words[:, None]
-            moved = np.abs(new - share).max(initial=0)
-            share = new
-            if moved < 1e-3:
+            moved = np.abs(new - share).max(axis=1, initial=0)
+            share = np.where(still[:, None], new, share)
+            still &= moved >= 1e-3
+            if not still.any():
                 break
         reached = np.log(np.maximum((p * np.repeat(share, words, axis=0)).sum(axis=1), 1e-300))
         return share, np.add.reduceat(reached, starts)
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Is a row kept from learning? A null id is not held out, but nothing is learnt from it either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS, bits: int = BITS) -> Languages:
     """Trigram tables from at most ``most_docs`` labelled documents that are not held out.
 
-    The sample is dealt evenly over the languages by a hash of the ids. More than
-    ``MOST_LANGUAGES`` languages raise an error, as their tables would be too large to broadcast.
+    The sample is dealt evenly over the languages by a hash of the ids. Where there are very many languages, trigrams share
+    fewer buckets, so that all tables together keep to ``MOST_CELLS`` cells (at least 2**``LEAST_BITS`` a language).
+    Counts are added up on the executors, by language and block of buckets; the driver gets one table.
     """
     ids = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).filter(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & ~held_out("__id"))
-    names = sorted(r[0] for r in ids.select("__lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(r[0] for r in ids.select("__lang").distinct().collect())
+    bits = max(min(bits, LEAST_BITS), min(bits, (MOST_CELLS // max(1, len(names))).bit_length() - 1))
     if not names:
         return Languages([], np.zeros((1 << bits, 0), np.float32), bits)
     each = max(1, most_docs // len(names))
@@ -175,20 +179,31 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                         c = np.bincount(code[bounds[i] : bounds[i + 1]], minlength=1 << bits)
                         lang = langs[part.first + i]
                         counts[lang] = counts[lang] + c if lang in counts else c
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.astype("<i8").tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
+        step = min(BLOCK, 1 << bits)
+        parts = [(lang, a // step, c[a : a + step].astype("<i8").tobytes()) for lang, c in counts.items() for a in range(0, 1 << bits, step)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["lang", "block", "counts"])
+
+    def add(batches):
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, block, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                sums[lang, block] = sums.get((lang, block), 0) + np.frombuffer(c, "<i8")
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["lang", "block", "counts"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select("__lang", "text")
-    total = {name: np.full(1 << bits, 0.0) for name in names}
-    for r in arrow_map(rows, run, "lang string, counts binary").toLocalIterator():
-        total[r["lang"]] += np.frombuffer(r["counts"], "<i8")
-    table = np.stack([np.log((c + SMOOTH) / (c + SMOOTH).sum()) for c in total.values()], axis=1)
-    return Languages(names, table.astype(np.float32), bits)
+    place, step = {name: i for i, name in enumerate(names)}, min(BLOCK, 1 << bits)
+    table, blocks = np.full((1 << bits, len(names)), SMOOTH), "lang string, block int, counts binary"
+    for r in arrow_map(arrow_map(rows, run, blocks).repartition("lang", "block"), add, blocks).collect():
+        table[r["block"] * step : (r["block"] + 1) * step, place[r["lang"]]] += np.frombuffer(r["counts"], "<i8")
+    return Languages(names, np.log(table / table.sum(axis=0)).astype(np.float32), bits)
 
 
 def identified(docs: DataFrame, languages: Languages, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs``.
+    """doc_id, lang_pred, score, languages for every row of ``docs``.
 
-    ``lang_pred`` is ``und``, with score 0, if the text is null or has no letter. Repeated rows
+    ``languages`` is the chosen set with its proportions, the largest first (ties: in the order of their names), ``lang_pred`` its first and
+    ``score`` the proportion of that. ``lang_pred`` is ``und``, with score 0 and no languages, if the text is null or has no letter. Repeated rows
     are predicted alike, null ids stay null, an empty input gives no rows; other columns are
     ignored, whatever their names.
     """
@@ -198,21 +213,28 @@ def identified(docs: DataFrame, languages: Languages, *, id_col: str = "doc_id",
         model = shared.value
         names = np.array([*model.names, UNKNOWN], object)
         for batch in batches:
-            pred, score = [], []
+            pred, score, found = [], [], []
             for part in slices(batch.column(1), 1 << 20):
-                k, s = model.infer(part)
+                k, s, every = model.infer(part)
                 pred.append(names[k])
                 score.append(s)
+                found.append(every)
             known = batch.column(2).to_numpy(zero_copy_only=False)
+            every = np.concatenate(found) if found else np.zeros((0, len(model.names)))
+            every[~known.astype(bool)] = 0
+            row, lang = np.nonzero(every)
+            order = np.lexsort((lang, -every[row, lang], row))
+            parts = pa.StructArray.from_arrays([pa.array(names[lang[order]], pa.string()), pa.array(np.minimum(every[row, lang][order], 1.0))], names=["lang", "share"])
+            bounds = pa.array(np.searchsorted(row, np.arange(len(every) + 1)).astype(np.int32))
             p = np.where(known, np.concatenate(pred), UNKNOWN) if pred else np.zeros(0, object)
             s = np.where(known, np.concatenate(score), 0.0) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.string()), pa.array(s)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.string()), pa.array(s), pa.ListArray.from_arrays(bounds, parts)], names=["doc_id", "lang_pred", "score", "languages"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("known"))
-    return arrow_map(rows, run, "doc_id long, lang_pred string, score double")
+    return arrow_map(rows, run, "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identified(docs, fit(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identified(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

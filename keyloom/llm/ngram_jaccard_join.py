@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import sets_of, shingles, slices
 from keyloom.operators.components import connected_components
-from keyloom.operators.grouping import salt, salt_mask, salts_of
-from keyloom.plans.workspace import arrow_map, stored
+from keyloom.operators.grouping import free_name, salt, salt_mask, salts_of
+from keyloom.plans.workspace import arrow_map, small, stored
 
 WIDTH, NUMER, DENOM = 5, 75, 100  # words in a shingle; similarity of at least NUMER / DENOM
 BITS = 20
@@ -38,6 +38,7 @@ CHUNK = 4096
 CROWD, PER_ENTRY, PIVOTS = 4, 2, 2  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
 ENTRY = np.dtype([("s", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 ENTRIES_A_TASK = 2_000_000
+MOST_BROADCAST = 1_000_000  # ids
 TILE = 2048  # texts of one block of candidates
 U = np.uint64
 
@@ -529,10 +530,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the document with its smallest id."""
+    """The rows of ``docs`` that stay when each component keeps the document with its smallest id.
+
+    All columns stay, whatever their names. Documents without words (null, empty, blank) and rows with a null id
+    always stay, and so do repeated rows of a document that stays. An empty table stays empty.
+    """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    own = free_name(docs, "id")
+    gone = stored(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    return docs.join(small(gone, MOST_BROADCAST), F.col(id_col) == F.col(own), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ period, and a block's slot follows from its number by arithmetic. Otherwise it s
 phase. When a source runs out, a new phase starts with the weights of those that are left; there
 are at most as many phases as sources. All rows keep a place: none is dropped or repeated.
 
-Only the counts of rows by source and the slots of the phases (8 bytes for each block at most)
-are on the driver and in a broadcast. Rows are numbered within their source over hash buckets, so that a source with a
+Only the counts of rows by source and the slots of the phases (8 bytes for each of at most
+``MOST_BLOCKS`` whole blocks, and a last one for each source) are on the driver and in a broadcast. Rows are numbered within their source over hash buckets, so that a source with a
 third of all rows is no hot key.
 """
 
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.grouping import numbered
+from keyloom.operators.grouping import free_name, numbered
 from keyloom.plans.workspace import arrow_map, stored
 
 BLOCK_ROWS, TICKETS, MOST_SOURCES = 16, 1000, 1_000
-LONGEST_PERIOD = 1 << 14
+LONGEST_PERIOD, MOST_BLOCKS = 1 << 14, 1 << 20
 
 
 def period(tickets: list[int], blocks: list[int] | None = None) -> list[int]:
@@ -116,9 +116,12 @@ def phases(rows: list[int], tickets: list[int], block_rows: int = BLOCK_ROWS) ->
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, tickets: int = TICKETS, buckets: int = 64) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, tickets: int = TICKETS, buckets: int = 64) -> DataFrame:
     """doc_id, source, block, slot, position for every row of ``docs``.
 
+    Blocks have ``block_rows`` rows; if that is not given, ``BLOCK_ROWS``, or as many more as it takes to have no more than
+    ``MOST_BLOCKS`` whole blocks: the schedule on the driver, and its broadcast, then have a fixed bound.
+
     ``block`` counts within the source, ``slot`` over all blocks, ``position`` (from 0, dense) over
     all rows. ``weights`` are the targets; without them, the square roots of the sizes. A
     source without a weight gets one part in ``tickets`` of the others' sum; null is a source of
@@ -130,6 +133,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(sizes.values()) // MOST_BLOCKS))
     plan = phases([sizes[s] for s in names], tickets_of(weights if weights is not None else tempered(sizes), names, tickets), block_rows)
     shared = rows.sparkSession.sparkContext.broadcast((names, plan))
 
@@ -167,9 +171,14 @@ def _ordered(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, sorted by their place in the mixture."""
-    places = mixed(docs, weights, id_col=id_col, source_col=source_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
-    return docs.join(places, F.col(id_col).eqNullSafe(F.col("__id"))).orderBy("__position").select(*docs.columns)
+    """The rows of ``docs``, all columns, whatever their names, sorted by their place in the mixture.
+
+    Rows that repeat an id stay, one after another at the first place of the id, also if their sources differ; so do rows with a null id.
+    Null sources are a source of their own. An empty table stays empty.
+    """
+    own, place = free_name(docs, "id"), free_name(docs, "position")
+    places = mixed(docs, weights, id_col=id_col, source_col=source_col, **options).groupBy(F.col("doc_id").alias(own)).agg(F.min("position").alias(place))
+    return docs.join(places, F.col(id_col).eqNullSafe(F.col(own))).orderBy(place).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

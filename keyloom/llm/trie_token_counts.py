@@ -6,6 +6,8 @@ fewest pieces. The best score of a prefix does not depend on what follows, so th
 pre-tokens of a slice of text go into a trie, each node's forward score is computed once for
 all pre-tokens that share it, and the terminal nodes hold the counts. All nodes of one
 depth are computed together. A worker keeps the counts of words it has seen, up to a bound.
+Words of more than ``LONGEST`` bytes share no prefix worth a trie: each is a path of its own, followed byte by
+byte with whole numbers of any size.
 
 The vocabulary is a public piece file. Its ranks stand for frequencies as in Zipf's law:
 the piece of rank r scores -ln(r + 1) - ln(H), H the harmonic sum; scores are integers (2**16
@@ -26,7 +28,7 @@ from keyloom.plans.workspace import arrow_map
 MARK = "▁".encode()
 SCALE, COUNT_BITS = 1 << 16, 20
 BYTE_PENALTY = 20.0
-CACHE_WORDS = 1_500_000
+CACHE_WORDS, LONGEST = 1_500_000, 2_000  # so few tokens fit COUNT_BITS, and their scores 64 bits
 NONE = np.int64(-(1 << 62))
 
 
@@ -45,6 +47,7 @@ class PieceTrie:
     """Counts for words, from scores of pieces."""
 
     def __init__(self, scores: dict[bytes, int]):
+        self.scores, self.uncovered = scores, min(scores.values(), default=0) - round(SCALE * BYTE_PENALTY)
         self.byte = (min(scores.values(), default=0) - round(SCALE * BYTE_PENALTY)) * (1 << COUNT_BITS) - 1
         by_length: dict[int, list[tuple[int, int]]] = {}
         for piece, score in scores.items():
@@ -101,6 +104,20 @@ class PieceTrie:
         out[order] = -best & ((1 << COUNT_BITS) - 1)
         return out
 
+    def count_long(self, word: bytes) -> int:
+        """Tokens of one pre-token (the mark included), however long."""
+        reach = [(0, 0)] * self.longest  # (score, -tokens) of the prefixes that end last, in a ring
+        for end in range(1, len(word) + 1):
+            score, n = reach[(end - 1) % self.longest]
+            best = (score + self.uncovered, n - 1)
+            for k in range(1, min(end, self.longest) + 1):
+                own = self.scores.get(word[end - k : end])
+                if own is not None:
+                    score, n = reach[(end - k) % self.longest]
+                    best = max(best, (score + own, n - 1))
+            reach[end % self.longest] = best
+        return -reach[len(word) % self.longest][1]
+
     def of_words(self, part: Slice) -> np.ndarray:
         """Tokens of each word of a slice."""
         if not len(part.starts):
@@ -114,6 +131,10 @@ class PieceTrie:
         new[inside] = self.known[at[inside]] != distinct[inside]
         if new.any():
             a, b = part.starts[first[new]], part.ends[first[new]]
+            long = np.flatnonzero(b - a > LONGEST)
+            counted = [self.count_long(MARK + part.data[a[i] : b[i]].tobytes()) for i in long.tolist()]
+            b = b.copy()
+            b[long] = a[long]  # the mark alone goes with the others
             lengths = b - a + len(MARK)
             starts = np.cumsum(lengths) - lengths
             data = np.empty(int(lengths.sum()), np.uint8)
@@ -123,6 +144,7 @@ class PieceTrie:
             body[(starts[:, None] + np.arange(len(MARK))).ravel()] = False
             data[body] = part.data[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(int((b - a).sum()))]
             counts = self.counts(data, starts, lengths)
+            counts[long] = counted
             self.known = np.insert(self.known, at[new], distinct[new])
             self.stored = np.insert(self.stored, at[new], counts)
             at = np.searchsorted(self.known, distinct)
