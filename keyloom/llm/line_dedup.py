@@ -248,27 +248,27 @@ def line_keys(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     """``lines`` (line, and any others) with h, id, what a pair is judged by, and the keys.
 
     ``met`` are keys for both sides; ``short`` is the line where it meets others by segments of characters. ``n_words``,
-    ``words``, ``every`` and ``chars`` are parities: which of 64 classes of telling words, of all words (null for
-    most long lines), of characters (short lines) occur an odd number of times.
+    ``words`` and ``chars`` are parities: which of 64 classes of words, and of characters (of short
+    lines), occur an odd number of times.
     """
     near, least = f"n >= {least_chars}", LONG - (SPOILT - 1) * edits  # a partner of a long line may have so few words
     short = f"{near} and n_words < {max(LONG, 2 * (SPOILT + GRAM - 1) * edits)}"
     halves = f"if({near} and n_words >= {LEAST_WORDS} and n_words < {LONG}, {half_keys('w')}, array())"
     runs = f"if({near} and n_words >= {least}, {run_keys(edits, 'telling', 'n_words')}, array())"
     grams = f"if({near} and n_words >= {least} and w is not null, {gram_keys(edits, 'w', 'n_words')}, array())"
-    parity = "aggregate({}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))"
+    parity = lambda items, number: f"aggregate({items}, 0L, (s, x) -> s ^ shiftleft(1L, cast({number} & 63 as int)))"
     rows = lines.select("*", F.xxhash64("line").alias("h"), _digest("line").alias("id"), F.length("line").alias("n"), F.expr(split_sql()).alias("parts"))
     rows = rows.selectExpr("*", "size(parts) n_words", f"transform(filter(parts, x -> length(x) >= {TELLING}), x -> xxhash64(x)) telling")
     rows = rows.selectExpr("*", f"if(n_words < {LONG} or {needs_grams(edits, 'telling', 'n_words')}, transform(parts, x -> xxhash64(x)), null) w")
     given = [c for c in lines.columns if c != "line"]
     return rows.selectExpr(
-        *given, "h", "id", "n_words", f"if({near}, {parity.format('telling')}, null) words", f"if({near} and w is not null, {parity.format('w')}, null) every", f"if({short}, {parity.format(SPLIT)}, null) chars",
+        *given, "h", "id", "n_words", f"if({near}, {parity('parts', 'xxhash64(x)')}, null) words", f"if({short}, {parity(SPLIT, 'ascii(x)')}, null) chars",
         f"concat({halves}, {runs}, {grams}) met", f"if({short}, line, null) short",
     )
 
 
-SPLIT = "transform(split(line, ''), c -> ascii(c))"
-JUDGED = ["n_words", "words", "every", "chars"]
+SPLIT = "split(line, '')"
+JUDGED = ["n_words", "words", "chars"]
 
 
 def _array(items: list[str]) -> str:
@@ -307,25 +307,29 @@ def _lists(keys: DataFrame, edits: int) -> DataFrame:
     return stored(every.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("by_chars").alias("by_chars"), F.max("n").alias("n"), *judged), "lists")
 
 
-def _possible(edits: int) -> str:
-    """SQL: may the lines x and y, which share a key, be linked? An edit of a word flips two parities at most."""
+def _possible(edits: int, words: str = "bit_count(x.words ^ y.words)") -> str:
+    """SQL: may the lines x and y, which share a key, be linked? A word replaced flips two parities of ``words`` at most, one removed or inserted one."""
     allowed = word_edits_sql("greatest(x.n_words, y.n_words)")
     flips = (SPOILT + 1) * edits
-    by_chars = f"bit_count(x.words ^ y.words) <= {flips} and bit_count(x.chars ^ y.chars) <= {2 * edits}"
+    by_chars = f"{words} <= {flips} and bit_count(x.chars ^ y.chars) <= {2 * edits}"
     most = f"if(least(x.n_words, y.n_words) >= {LONG - (SPOILT - 1) * edits}, greatest({allowed}, {-(-flips // 2)}), {allowed})"
-    return f"if(x.by_chars, {by_chars}, abs(x.n_words - y.n_words) <= {most} and bit_count(x.words ^ y.words) <= 2 * {most} and coalesce(bit_count(x.every ^ y.every) <= 2 * {most}, true))"
+    return f"if(x.by_chars, {by_chars}, abs(x.n_words - y.n_words) <= {most} and {words} <= 2 * {most} - abs(x.n_words - y.n_words))"
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+FINE = [f"fine{i}" for i in range(8)]
+
+
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, line) of the lines with these 64-bit hashes."""
+    return lines.select(F.xxhash64("line").alias("h"), "line").join(small(ids.distinct(), MOST_BROADCAST), "h", "left_semi").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """(h, g, a, b): the pairs (h, g) whose lines are linked; a and b are the lines' ids."""
-    needed = small(pairs.select(F.explode(F.array("h", "g")).alias("h")).distinct(), MOST_BROADCAST)
-    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(needed, "h", "left_semi").distinct(), "texts")
     both = pairs.join(texts.select("h", F.col("line").alias("p")), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("q")), "g")
     by_words = _let(f"named_struct('x', {words_sql('p')}, 'y', {words_sql('q')})", "w", words_within_sql("w.x", "w.y"))
     near = both.filter(F.expr(f"if(abs(length(p) - length(q)) <= {edits}, {within_sql(edits)}, false) or {by_words}"))
-    links = stored(near.select("h", "g", _digest("p").alias("a"), _digest("q").alias("b")), "links")
-    discard(texts)
-    return links
+    return stored(near.select("h", "g", _digest("p").alias("a"), _digest("q").alias("b")), "links")
 
 
 def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -337,17 +341,29 @@ def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> D
     pair = [F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("g")]
     centres = lists.filter("own").groupBy("key").agg(F.max(F.struct("n", "h", "by_chars", *JUDGED)).alias("c")).select("key", "c.*").alias("x")
     stars = stored(centres.join(lists.alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {_possible(edits)}")).select(*pair).distinct(), "stars")
-    links = _verified(stars, lines, edits)
+    texts = stored(_texts(lines, stars.select(F.explode(F.array("h", "g")).alias("h"))), "texts")
+    links = _verified(stars, texts, edits)
+    discard(texts)
     components = connected_components(links.select("h", "g"), "h", "g")
-    named = stored(lists.join(components, F.col("h") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "h")), "named")
+    named = lists.join(components, F.col("h") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "h"))
+    named = stored(named, "named")
     discard(lists)
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    apart = named.join(open_keys, "key", "left_semi")
-    met = F.expr(f"x.key = y.key and x.component <> y.component and (not y.own or x.h < y.h) and {_possible(edits)}")
-    pairs = apart.filter("own").alias("x").join(apart.alias("y"), met).select(*pair).distinct()
-    rest = stored(pairs.join(stars, ["h", "g"], "left_anti"), "rest")
+    apart = stored(named.join(open_keys, "key", "left_semi"), "apart")
     discard(named)
-    return links.unionByName(_verified(rest, lines, edits)).select("a", "b")
+    met = "x.key = y.key and x.component <> y.component and (not y.own or x.h < y.h)"
+    # whether a line may have a partner at all is seen without its text; those that may are judged by finer parities, too
+    partner = F.expr(f"x.key = y.key and x.component <> y.component and (x.own or y.own) and {_possible(edits)}")
+    some = stored(apart.alias("x").join(apart.alias("y"), partner, "left_semi").select("h"), "some")
+    fine = [f"aggregate(filter(w, x -> (shiftright(x, 6) & {len(FINE) - 1}) = {i}), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int))) {name}" for i, name in enumerate(FINE)]
+    texts = stored(_texts(lines, some).selectExpr("h", "line", f"{words_sql()} w").selectExpr("h", "line", *fine), "texts")
+    known = apart.join(texts.select("h", *FINE), "h")
+    closer = " + ".join(f"bit_count(x.{name} ^ y.{name})" for name in FINE)
+    pairs = known.filter("own").alias("x").join(known.alias("y"), F.expr(f"{met} and {_possible(edits)} and {_possible(edits, f'({closer})')}"))
+    rest = stored(pairs.select(*pair).distinct().join(stars, ["h", "g"], "left_anti"), "rest")
+    more = _verified(rest, texts, edits)
+    discard(apart, some, texts, rest, stars)
+    return links.unionByName(more).select("a", "b")
 
 
 def _digest(line: str) -> Column:
