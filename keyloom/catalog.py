@@ -7,6 +7,7 @@ are counted from 0 and Q0 is no item, hence the + 1.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,11 @@ from keyloom.functions import kinds as K
 from keyloom.functions import normalizers as N
 from keyloom.functions import scalars as S
 from keyloom.operators import corrections, names
-from keyloom.operators.complete import complete
+from keyloom.operators.complete import complete, resolve_by_name
 from keyloom.operators.components import connected_components
 from keyloom.operators.resolve import anchor, resolve_exact, resolve_set
 from keyloom.plans import documents, stats, store
+from keyloom.plans.workspace import shared_dir
 from keyloom.sources import hubs, pages, records
 from keyloom.streaming.commits import sessions, windowed_miss_rate
 
@@ -413,6 +415,86 @@ def invariants(spark, d):
     return store.violations(s.with_clusters(c))
 
 
+@registered("""
+SELECT 'key with two owners' AS what, 'wikidata:Q' || (s_suppkey + 1) AS which FROM supplier JOIN customer ON c_custkey = s_suppkey
+UNION ALL SELECT 'owner does not exist', 'yelp:n' || n_nationkey FROM nation UNION ALL SELECT 'anchor not owned', 'r' || r_regionkey FROM region
+""")
+def planted_violations(spark, d):
+    s, null = _snapshot(spark, d), F.lit(None).cast("string")
+    sup, nation, region = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    own = table(spark, d, "customer").select(_text("c", F.col("c_custkey")).alias("canonical_id"))
+    twice = table(spark, d, "supplier").select(_text("wikidata:Q", sup + 1).alias("key"), _text("c", sup + 1).alias("canonical_id"), null.alias("source")).join(own, "canonical_id", "left_semi").select("key", "canonical_id", "source")
+    orphans = table(spark, d, "nation").select(_text("yelp:n", nation).alias("key"), _text("gone", nation).alias("canonical_id"), null.alias("source"))
+    s.nodes = s.nodes.unionByName(twice).unionByName(orphans)
+    s.entities = s.entities.unionByName(table(spark, d, "region").select(_text("r", region).alias("canonical_id"), _text("domain:r", region, ".com").alias("anchor"), null.alias("entity_type"), null.alias("name")))
+    return store.violations(s)
+
+
+@registered("SELECT 'c' || c_custkey AS canonical_id, 'wikidata:Q' || (c_custkey + 1) AS anchor, c_name AS name FROM customer UNION ALL SELECT 'x' || s_suppkey, NULL, NULL FROM supplier")
+def get_entity(spark, d):
+    ids = table(spark, d, "customer").select(_text("c", F.col("c_custkey")).alias("canonical_id")).unionByName(table(spark, d, "supplier").select(_text("x", F.col("s_suppkey")).alias("canonical_id")))
+    return store.get_entity(ids, _snapshot(spark, d)).select("canonical_id", "anchor", "name")
+
+
+@registered("""
+WITH n AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE 'n' || o_orderkey % 500 END AS id, o_orderkey FROM orders)
+SELECT 'c' || c_custkey AS canonical_id, 'wikidata:Q' || (c_custkey + 1) AS anchor, c_name AS name FROM customer
+UNION ALL SELECT id, 'tmdb:' || (min(o_orderkey) + 1), 'o' || min(o_orderkey) FROM n WHERE id NOT IN (SELECT 'c' || c_custkey FROM customer) GROUP BY id
+""")
+def create_entities(spark, d):
+    n = F.col("o_orderkey")
+    cid = F.when(n % 2 == 0, _text("c", F.col("o_custkey"))).otherwise(_text("n", n % 500))
+    new = table(spark, d, "orders").select(n.alias("seq"), cid.alias("canonical_id"), _text("tmdb:", n + 1).alias("anchor"), F.lit(None).cast("string").alias("entity_type"), _text("o", n).alias("name"))
+    return store.insert_or_ignore(_snapshot(spark, d).entities, new, ["canonical_id"]).select("canonical_id", "anchor", "name")
+
+
+@registered("SELECT 'c' || c_custkey AS canonical_id, CASE WHEN c_custkey % 3 = 0 THEN 'imdb:tt' || c_custkey ELSE 'wikidata:Q' || (c_custkey + 1) END AS anchor FROM customer")
+def set_anchors(spark, d):
+    c = F.col("c_custkey")
+    new = table(spark, d, "customer").filter(c % 3 == 0).select(_text("c", c).alias("canonical_id"), _text("imdb:tt", c).alias("anchor"))
+    return store.set_anchors(_snapshot(spark, d).entities, new).select("canonical_id", "anchor")
+
+
+@registered("SELECT 'c' || c_custkey AS canonical_id, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'told' END ELSE c_mktsegment END AS entity_type, c_name AS name FROM customer")
+def enrich_entities(spark, d):
+    c, s = F.col("c_custkey"), _snapshot(spark, d)
+    some = s.entities.withColumn("entity_type", F.when(F.substring("canonical_id", 2, 20).cast("long") % 2 != 0, F.col("entity_type")))
+    told = table(spark, d, "customer").filter(c % 3 == 0).select(_text("c", c).alias("canonical_id"), F.lit("told").alias("entity_type"), F.lit("other").alias("name"))
+    return store.enrich(some, told).select("canonical_id", "entity_type", "name")
+
+
+@registered("""
+SELECT o_orderkey AS seq, 'hit' AS status_tag, 'exact_strong_key' AS reason_tag, 'imdb,tmdb' AS matched_via, 0.95::DOUBLE AS confidence,
+ CASE o_orderkey % 4 WHEN 0 THEN 'imdb:tt' || o_orderkey WHEN 1 THEN 'phone' WHEN 2 THEN 'name' ELSE 'record' END AS input_desc FROM orders
+""")
+def log_resolutions(spark, d):
+    n = F.col("o_orderkey")
+    out = table(spark, d, "orders").select(n.alias("seq"), F.lit("hit").alias("status"), F.lit("exact_strong_key").alias("reason"), F.array(F.lit("imdb"), F.lit("tmdb")).alias("matched_via"), S.confidence(F.lit("exact_strong_key")).alias("confidence"))
+    said = S.input_description(_pick(F.col("seq"), F.lit("imdb"), F.lit("phone"), F.lit("name"), F.lit("record")), _text("tt", F.col("seq")))
+    return store.log_resolutions(_snapshot(spark, d).resolutions, out, said)
+
+
+@registered("""
+SELECT 'c' || c_custkey AS canonical_id, CASE WHEN c_custkey % 4 <> 0 THEN 'wikidata:Q' || (c_custkey + 1) ELSE coalesce(min('tmdb:' || (o_orderkey + 1)), 'none') END AS anchor
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+""")
+def reanchor(spark, d):
+    s = _snapshot(spark, d)
+    s.entities = s.entities.withColumn("anchor", F.lit("none"))
+    s.nodes = s.nodes.filter(~F.col("key").startswith("wikidata:") | (F.substring("canonical_id", 2, 20).cast("long") % 4 != 0))
+    return store.reanchored(s).entities.select("canonical_id", "anchor")
+
+
+@registered("""
+SELECT count(*) AS total, (SELECT count(*) FROM customer) AS entities, (SELECT count(*) FROM customer) * 2 + (SELECT count(*) FROM orders) AS edges FROM events
+""")
+def graph_size(spark, d):
+    s = _snapshot(spark, d)
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("miss").alias("status_tag"), _reason(F.col("event_id")).alias("reason_tag"))
+    s.resolutions = store.with_columns(spark, log, store.RESOLUTIONS)
+    return stats.report(s).select("total", "entities", "edges")
+
+
 # ---- corrections ----------------------------------------------------------------------------
 
 
@@ -452,6 +534,42 @@ def merge_winner(spark, d):
     return corrections.winners(groups, entities)
 
 
+_NODES_SQL = "SELECT 'wikidata:Q' || (c_custkey + 1) AS key, 'c' || c_custkey AS canonical_id, 'hub' AS source FROM customer UNION ALL SELECT 'tmdb:' || (o_orderkey + 1), 'c' || o_custkey, 'input' FROM orders"
+
+
+@registered(f"""
+WITH n AS ({_NODES_SQL}) SELECT key, CASE canonical_id WHEN 'c3' THEN 'c2' ELSE canonical_id END AS canonical_id, source FROM n UNION ALL SELECT 'yelp:new', 'c0', 'link'
+UNION ALL SELECT k, {_cid_sql("('yelp:other')")}, 'link' FROM (SELECT unnest(['imdb:tt77', 'yelp:other']) AS k)
+""")
+def link_states(spark, d):
+    s, cid, outcome = corrections.link(_snapshot(spark, d), "wikidata:Q1", "yelp:new")
+    assert (cid, outcome) == ("c0", "attached")
+    s, _, outcome = corrections.link(s, "yelp:other", "imdb:tt77")
+    assert outcome == "created"
+    s, cid, outcome = corrections.link(s, "wikidata:Q4", "wikidata:Q3", force=True)
+    assert (cid, outcome) == ("c2", "merged")
+    return s.nodes
+
+
+@registered(f"WITH n AS ({_NODES_SQL}) SELECT key, CASE key WHEN 'tmdb:1' THEN {_cid_sql("('tmdb:1')")} ELSE canonical_id END AS canonical_id, source FROM n")
+def split_state(spark, d):
+    return corrections.split(_snapshot(spark, d), ["tmdb:1"])[0].nodes
+
+
+@registered("""
+WITH e AS (SELECT CASE WHEN c_custkey < 3 THEN 0 ELSE c_custkey END AS w, c_custkey, c_name, c_mktsegment FROM customer)
+SELECT 'c' || w AS canonical_id, 'wikidata:Q' || (w + 1) AS anchor, arg_min(c_name, c_custkey) FILTER (w > 0 OR c_custkey = 1) AS name, arg_min(c_mktsegment, c_custkey) FILTER (w > 0 OR c_custkey = 1) AS entity_type,
+ count(*) + sum((SELECT count(*) FROM orders WHERE o_custkey = c_custkey))::BIGINT AS keys FROM e GROUP BY w
+""")
+def merge_state(spark, d):
+    s = _snapshot(spark, d)
+    bare = F.col("canonical_id") == "c0"
+    s.entities = s.entities.withColumns({c: F.when(~bare, F.col(c)) for c in ("name", "entity_type")})
+    out, winner = corrections.merge(s, ["c0", "c1", "c2"], force=True)
+    assert winner == "c0"
+    return out.entities.join(store.strong_key_count(out).withColumnRenamed("strong_keys", "keys"), "canonical_id")
+
+
 # ---- names ----------------------------------------------------------------------------------
 
 
@@ -560,6 +678,53 @@ def hub_lookup(spark, d):
     return wiki.join(movie, "id")
 
 
+@registered("""
+SELECT c_custkey AS id, 'domain=https://p' || c_custkey || '.com|phone=' || CASE WHEN c_custkey % 2 = 0 THEN '+1 202 555 0100' ELSE '(202) 555-0100' END AS details, 'Place ' || c_custkey AS name,
+ CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'P' || c_custkey ELSE 'P' || c_custkey || '|R' || c_custkey END AS places, CASE WHEN c_custkey % 2 = 0 THEN 'pk-' || c_custkey END AS placekey FROM customer
+""")
+def hub_parsers(spark, d):
+    n = F.col("c_custkey")
+    phone = F.when(n % 2 == 0, F.lit('"internationalPhoneNumber":"+1 202 555 0100","nationalPhoneNumber":"0"')).otherwise(F.lit('"nationalPhoneNumber":"(202) 555-0100"'))
+    details = F.concat(_text('{"id":"P', n, '","displayName":{"text":"Place ', n, '","languageCode":"en"},"websiteUri":"https://p', n, '.com",'), phone, F.lit("}"))
+    pairs = F.array_join(F.transform(hubs.place_ids(details), lambda i: F.concat_ws("=", i["kind"], i["value"])), "|")
+    key = F.when(n % 2 == 0, _text('{"placekey":"pk-', n, '"}')).otherwise(F.lit('{"query_id":"1"}'))
+    return table(spark, d, "customer").select(n.alias("id"), pairs.alias("details"), hubs.place_name(details).alias("name"), F.array_join(hubs.found_places(_places(n)), "|").alias("places"), hubs.found_placekey(key).alias("placekey"))
+
+
+def _places(n: Column) -> Column:
+    """A text search's answer: no place, one or two."""
+    return _pick(n, F.lit("{}"), _text('{"places":[{"id":"P', n, '"}]}'), _text('{"places":[{"id":"P', n, '"},{"id":"R', n, '"}]}'))
+
+
+@registered("""
+SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN 'needs_stronger_identifier' WHEN 1 THEN 'place_unique_match' ELSE 'ambiguous_among_n' END AS reason,
+ CASE c_custkey % 3 WHEN 2 THEN 'google_place_id:P' || c_custkey || '|google_place_id:R' || c_custkey ELSE '' END AS candidates FROM customer
+""")
+def hub_names(spark, d):
+    null = F.lit(None).cast("string")
+    n = F.col("c_custkey")
+    asked = table(spark, d, "customer").select(n.alias("query_id"), F.col("c_name").alias("name"), F.array(F.lit("town")).alias("qualifiers"), *[null.alias(c) for c in ("street", "city", "region", "country")])
+    answers = hubs.responses(hubs.search_requests(asked).select("method", "url", _places(F.col("query_id")).alias("response")))
+    out = resolve_by_name(asked, answers, store.empty(spark))[1]
+    return out.select("query_id", "reason", F.array_join(F.transform("candidates", lambda c: c["anchor"]), "|").alias("candidates"))
+
+
+@registered("SELECT count(*) + 1 AS records, count(*) AS \"new\", 0::BIGINT AS hit, 0::BIGINT AS unresolved, 1::BIGINT AS rejected FROM nation")
+def seed_folder(spark, d):
+    """One file for each nation, and one that is no JSON, read back in the order of their paths."""
+    n = F.col("n_nationkey")
+    own = table(spark, d, "nation").select(F.concat(F.lit("nation="), n.cast("string")).alias("file"), _text('{"name":"', F.col("n_name"), '","sameAs":[{"wikidata":"Q', n + 1, '"}]}').alias("json"))
+    folder = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}"
+    rows = own.unionByName(spark.createDataFrame([("z", "{no json")], own.schema))
+    rows.repartition(64, "file").write.partitionBy("file").text(folder)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)):
+        for f in fs.listStatus(part.getPath()) if part.isDirectory() else []:
+            fs.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part.getPath().getName().replace('=', '-')}.json"))
+    batch = records.parse(records.seed_files(spark, folder).withColumn("json", F.rtrim(F.regexp_replace("json", "\n", ""))))
+    return records.ingest_summary(resolve_exact(batch).outcomes, batch.rejects)
+
+
 # ---- statistics -----------------------------------------------------------------------------
 
 _LOG_SQL = f"WITH l AS (SELECT event_id, user_id, ts, ({_REASON_SQL})[(event_id * 7 + user_id) % 12 + 1] AS r FROM events)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import kinds as K
 from keyloom.functions.scalars import canonical_id
 from keyloom.operators.resolve import anchor
-from keyloom.plans.store import Snapshot, attach, find, insert_or_ignore, reanchored, repointed
+from keyloom.plans.store import Snapshot, attach, find, reanchored, repointed
 
 MOST_SUFFIXES = 100
 
@@ -86,6 +86,16 @@ def merge(s: Snapshot, ids: list[str], *, force: bool = False) -> tuple[Snapshot
     return reanchored(repointed(replace(s, entities=filled), moves), spark.createDataFrame([(winner,)], "canonical_id string")), winner
 
 
+def _free_id(s: Snapshot, base: str) -> str:
+    """``base``, or with the first suffix that no entity has: ids are 32-bit hashes, and may be a stranger's."""
+    names = [base, *(f"{base}_{i}" for i in range(1, MOST_SUFFIXES + 1))]
+    taken = {r[0] for r in s.entities.filter(F.col("canonical_id").isin(names)).select("canonical_id").collect()}
+    new = next((n for n in names if n not in taken), None)
+    if new is None:
+        raise Refused("no free id for the new entity")
+    return new
+
+
 def link(s: Snapshot, a: str, b: str, *, force: bool = False) -> tuple[Snapshot, str, str]:
     """(snapshot, canonical id, outcome) after saying that two strong keys name one thing."""
     spark = s.nodes.sparkSession
@@ -103,8 +113,8 @@ def link(s: Snapshot, a: str, b: str, *, force: bool = False) -> tuple[Snapshot,
     new = spark.createDataFrame([(k,) for k in (a, b)], "key string")
     if ca is None and cb is None:
         made = new.agg(anchor().alias("anchor")).select(canonical_id(F.col("anchor")).alias("canonical_id"), "anchor", F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("name"))
-        cid, outcome = made.first()["canonical_id"], "created"
-        s = replace(s, entities=insert_or_ignore(s.entities, made, ["canonical_id"]))
+        cid, outcome = _free_id(s, made.first()["canonical_id"]), "created"
+        s = replace(s, entities=s.entities.unionByName(made.withColumn("canonical_id", F.lit(cid))))
         add = new
     else:
         cid, outcome, add = ca or cb, "attached", new.filter(F.col("key") == (a if ca is None else b))
@@ -129,11 +139,7 @@ def split(s: Snapshot, keys: list[str]) -> tuple[Snapshot, str]:
     if s.nodes.filter(F.col("canonical_id") == old).count() <= len(rows):
         raise Refused("the entity must keep a strong key")
     made = wanted.agg(anchor().alias("anchor")).select("anchor", canonical_id(F.col("anchor")).alias("base")).first()
-    names = [made["base"], *(f"{made['base']}_{i}" for i in range(1, MOST_SUFFIXES + 1))]
-    taken = {r[0] for r in s.entities.filter(F.col("canonical_id").isin(names)).select("canonical_id").collect()}
-    new = next((n for n in names if n not in taken), None)
-    if new is None:
-        raise Refused("no free id for the new entity")
+    new = _free_id(s, made["base"])
     moved = s.nodes.join(wanted.withColumn("__moved", F.lit(True)), "key", "left").select("key", F.when(F.col("__moved"), new).otherwise(F.col("canonical_id")).alias("canonical_id"), "source")
     null = F.lit(None).cast("string")
     entities = s.entities.unionByName(spark.createDataFrame([(new, made["anchor"])], "canonical_id string, anchor string").select("canonical_id", "anchor", null.alias("entity_type"), null.alias("name")))

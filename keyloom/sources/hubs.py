@@ -25,10 +25,9 @@ RESPONSES = "method string, request_sig string, path_sig string, response string
 
 
 def responses(df: DataFrame, *, order: str | None = None) -> DataFrame:
-    """(method, url, response text) as a response table; the last of equal requests by ``order`` counts."""
-    sig = df.select("method", request_signature(F.col("method"), F.col("url")).alias("request_sig"), path_signature(F.col("method"), F.col("url")).alias("path_sig"), "response", F.col(order) if order else F.lit(0).alias("o"))
-    o = order or "o"
-    return sig.groupBy("method", "request_sig", "path_sig").agg(F.max_by("response", o).alias("response"))
+    """(method, url, response text) as a response table; the last of equal requests by ``order`` counts, else the greatest text."""
+    sig = df.select("method", request_signature(F.col("method"), F.col("url")).alias("request_sig"), path_signature(F.col("method"), F.col("url")).alias("path_sig"), "response", F.col(order).alias("o") if order else F.col("response").alias("o"))
+    return sig.groupBy("method", "request_sig", "path_sig").agg(F.max_by("response", F.struct("o", "response")).alias("response"))
 
 
 def response_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,8 +87,8 @@ def wikidata_ids(response: Column) -> Column:
 
 
 def tmdb_movie(response: Column) -> Column:
-    """(id, title) of the first movie found; ids may be numbers or strings."""
-    return F.struct(F.get_json_object(response, "$.movie_results[0].id").alias("id"), F.get_json_object(response, "$.movie_results[0].title").alias("title"))
+    """(first, id, title): the first movie found as text, if any; ids may be numbers or strings."""
+    return F.struct(F.get_json_object(response, "$.movie_results[0]").alias("first"), F.get_json_object(response, "$.movie_results[0].id").alias("id"), F.get_json_object(response, "$.movie_results[0].title").alias("title"))
 
 
 def tmdb_ids(response: Column) -> Column:
@@ -131,7 +130,7 @@ def placekey_requests(queries: DataFrame) -> DataFrame:
 def harvested(wanted: DataFrame, table: DataFrame) -> DataFrame:
     """``wanted``: rid, hub, kind, value. rid, hub, name, ids (raw pairs, the input last) where a hub answered.
 
-    A hub that has no answer, or one that cannot be read, adds nothing.
+    A hub that has no answer, or one that cannot be read, adds nothing; so does a film whose links are not answered.
     """
     first = answered(wanted.withColumn("method", F.lit("GET")).withColumn("url", request_url(F.col("hub"), F.col("kind"), F.col("value"))).filter("url is not null"), table)
     # the movie database answers an imdb id with its own id, which a second request turns into links
@@ -142,12 +141,12 @@ def harvested(wanted: DataFrame, table: DataFrame) -> DataFrame:
     hub, none = F.col("hub"), F.array().cast(_PAIRS)
     ids = (
         F.when(hub == "wikidata", wikidata_ids(F.col("response")))
-        .when((hub == "tmdb") & (F.col("kind") == "imdb"), F.concat(_given(F.array(_pair("tmdb", F.col("movie.id")))), F.coalesce(F.when(F.col("movie.id").isNotNull(), tmdb_ids(F.col("second"))), none)))
+        .when((hub == "tmdb") & (F.col("kind") == "imdb"), F.when(F.col("movie.id").isNull(), none).when(F.col("second").isNotNull(), F.concat(_given(F.array(_pair("tmdb", F.col("movie.id")))), tmdb_ids(F.col("second")))))
         .when(hub == "tmdb", tmdb_ids(F.col("response")))
         .when(hub == "place_details", place_ids(F.col("response")))
     )
     name = F.when(hub == "place_details", place_name(F.col("response"))).when(hub == "tmdb", F.col("movie.title"))
-    entity_type = F.when((hub == "tmdb") & F.col("movie.title").isNotNull(), "Movie")
+    entity_type = F.when((hub == "tmdb") & F.col("movie.first").isNotNull(), "Movie")
     out = own.filter("response is not null").withColumn("ids", ids).filter("ids is not null")
     return out.select("rid", "hub", name.alias("name"), entity_type.alias("entity_type"), F.array_distinct(F.concat("ids", F.array(F.struct("kind", "value")))).alias("ids"))
 
