@@ -100,6 +100,8 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of the Arrow batches between the JVM and Python, where the application does not say
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -113,11 +115,24 @@ def shipped(spark: SparkSession) -> SparkSession:
                 if p.is_file() and "__pycache__" not in p.parts:
                     z.write(p, p.relative_to(root.parent))
         sc.addPyFile(str(target))
+        if sc.getConf().get(_BATCH) is None:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
         _SHIPPED.add(sc.applicationId)
     return spark
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow``, with this package at hand on the executors."""
+    """``df.mapInArrow``, with this package at hand on the executors.
+
+    Batches are bounded in bytes, so long texts come a few at a time (one that is longer still comes alone), and what a
+    task has freed goes back to the system, as a reused worker waits beside others.
+    """
     shipped(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        yield from run(batches)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
