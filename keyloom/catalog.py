@@ -187,8 +187,8 @@ def name_query_parts(spark, d):
 
 def _order_json(d: str, spark: SparkSession) -> DataFrame:
     n = F.col("o_orderkey")
-    good = _text('{"type":"Movie","name":"Order ', n, '","sameAs":[{"imdb":"tt', F.lpad((n + 1).cast("string"), 7, "0"), '"},{"wikidata":"https://www.wikidata.org/wiki/Q', F.col("o_custkey") + 1, '"}]}')
-    bad = _pick(n, good, good, good, _text('{"sameAs":[{"myspace":"', n, '"}]}'), _text('{"sameAs":[{"imdb":"nm', n, '"}]}'), _text('{"sameAs":[{"imdb":"tt1","tmdb":"', n, '"}]}'), _text('{"sameAs": [', n), F.lit('{"name":"x"}'))
+    good = _text('{"type":"Movie","name":"Order ', n, '","ids":[{"imdb":"tt', F.lpad((n + 1).cast("string"), 7, "0"), '"},{"wikidata":"https://www.wikidata.org/wiki/Q', F.col("o_custkey") + 1, '"}]}')
+    bad = _pick(n, good, good, good, _text('{"ids":[{"myspace":"', n, '"}]}'), _text('{"ids":[{"imdb":"nm', n, '"}]}'), _text('{"ids":[{"imdb":"tt1","tmdb":"', n, '"}]}'), _text('{"ids": [', n), F.lit('{"name":"x"}'))
     return table(spark, d, "orders").select(n.alias("seq"), bad.alias("json"))
 
 
@@ -639,8 +639,8 @@ FROM pages
 """)
 def harvest_page(spark, d):
     n = F.col("page_id")
-    one = _text('{"@type":"Movie","name":"Film ', n, '","telephone":"(202) 555-0100","sameAs":["https://www.imdb.com/title/tt', n + 1, '/","https://www.facebook.com/x","https://www.wikidata.org/wiki/Q', n + 1, '","https://a.other.co.uk/x"]}')
-    graph = _text('{"@graph":[{"@type":"Movie","name":"Film ', n, '","url":"https://site', n, '.org/a","sameAs":"https://twitter.com/y"}],"@type":"Page","name":"no"}')
+    one = _text('{"@type":"Movie","name":"Film ', n, '","telephone":"(202) 555-0100","', pages.LINKS, '":["https://www.imdb.com/title/tt', n + 1, '/","https://www.facebook.com/x","https://www.wikidata.org/wiki/Q', n + 1, '","https://a.other.co.uk/x"]}')
+    graph = _text('{"@graph":[{"@type":"Movie","name":"Film ', n, '","url":"https://site', n, '.org/a","', pages.LINKS, '":"https://twitter.com/y"}],"@type":"Page","name":"no"}')
     block = F.when(n % 3 == 0, F.lit("{bad json")).when(n % 3 == 1, one).otherwise(graph)
     head = F.concat(F.lit("<head><script type='application/ld+json'>"), block, F.lit("</script><meta content='article' property='og:type'><meta property=\"og:title\" content=\"T &amp; "), n.cast("string"), F.lit('"><link rel="canonical" href="https://www.canon.net/p">'))
     own = table(spark, d, "pages").select("page_id", F.col("url").alias("domain"), F.replace(F.col("html"), F.lit("<head>"), head).alias("html"))
@@ -713,7 +713,7 @@ def hub_names(spark, d):
 def seed_folder(spark, d):
     """One file for each nation, and one that is no JSON, read back in the order of their paths."""
     n = F.col("n_nationkey")
-    own = table(spark, d, "nation").select(F.concat(F.lit("nation="), n.cast("string")).alias("file"), _text('{"name":"', F.col("n_name"), '","sameAs":[{"wikidata":"Q', n + 1, '"}]}').alias("json"))
+    own = table(spark, d, "nation").select(F.concat(F.lit("nation="), n.cast("string")).alias("file"), _text('{"name":"', F.col("n_name"), '","ids":[{"wikidata":"Q', n + 1, '"}]}').alias("json"))
     folder = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}"
     rows = own.unionByName(spark.createDataFrame([("z", "{no json")], own.schema))
     rows.repartition(64, "file").write.partitionBy("file").text(folder)

@@ -14,6 +14,9 @@ from keyloom.functions import normalizers as N
 _IDS = "array<struct<kind: string, value: string>>"
 DEPTH = 3  # nested arrays and @graphs that are followed
 
+#: Fixed value: the public JSON-LD property for other pages about the same thing.
+LINKS = "sameAs"
+
 
 def _attribute(html: Column, tag: str, name: str, value: str, wanted: str) -> Column:
     """The ``wanted`` attribute of the first ``tag`` whose ``name`` is ``value``, in any attribute order."""
@@ -58,8 +61,8 @@ def harvested(pages: DataFrame, *, page_domain: str = "domain", html: str = "htm
     one = lambda x: N.once(x, lambda v: F.when(v["value"].isNotNull(), F.array(v)).otherwise(F.array().cast(_IDS)))
 
     def same_as(v: Column) -> Column:
-        got = F.try_variant_get(v, "$.sameAs", "variant")
-        urls = F.when(F.schema_of_variant(got) == "STRING", F.array(F.try_variant_get(v, "$.sameAs", "string"))).otherwise(F.filter(F.try_variant_get(v, "$.sameAs", "array<string>"), lambda u: u.isNotNull()))
+        got = F.try_variant_get(v, f"$.{LINKS}", "variant")
+        urls = F.when(F.schema_of_variant(got) == "STRING", F.array(F.try_variant_get(v, f"$.{LINKS}", "string"))).otherwise(F.filter(F.try_variant_get(v, f"$.{LINKS}", "array<string>"), lambda u: u.isNotNull()))
         return F.filter(F.transform(F.coalesce(urls, F.array().cast("array<string>")), K.url_identifier), lambda i: i.isNotNull()).cast(_IDS)
 
     def of(v: Column) -> Column:

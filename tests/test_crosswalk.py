@@ -13,9 +13,9 @@ from keyloom.sources import hubs, pages, records
 from keyloom.streaming.commits import commit_stream, windowed_miss_rate
 
 SEEDS = [
-    {"type": "Restaurant", "name": "Blue", "sameAs": [{"domain": "https://blue.com"}, {"google_place_id": "P1"}, {"phone": "(202) 555-0100"}]},
-    {"type": "Restaurant", "name": "Blue Two", "sameAs": [{"domain": "blue.com"}, {"google_place_id": "P2"}]},
-    {"type": "Movie", "name": "M", "sameAs": [{"imdb": "tt0133093"}, {"wikidata": "Q83495"}]},
+    {"type": "Restaurant", "name": "Blue", "ids": [{"domain": "https://blue.com"}, {"google_place_id": "P1"}, {"phone": "(202) 555-0100"}]},
+    {"type": "Restaurant", "name": "Blue Two", "ids": [{"domain": "blue.com"}, {"google_place_id": "P2"}]},
+    {"type": "Movie", "name": "M", "ids": [{"imdb": "tt0133093"}, {"wikidata": "Q83495"}]},
 ]
 
 
@@ -25,7 +25,7 @@ def seeds(spark, rows):
 
 def test_verbs(spark, tmp_path):
     x = Crosswalk(spark, str(tmp_path / "x"))
-    out, rejects = x.ingest(seeds(spark, [*SEEDS, "{", {"sameAs": []}, {"sameAs": [{"nope": "1"}]}]))
+    out, rejects = x.ingest(seeds(spark, [*SEEDS, "{", {"ids": []}, {"ids": [{"nope": "1"}]}]))
     assert [r.status for r in out.orderBy("seq").collect()] == ["new"] * 3
     assert [r.reject_reason for r in rejects.orderBy("seq").collect()] == ["invalid_json", "invalid_input", "unknown_kind"]
     got = x.resolve(spark.createDataFrame([(1, 0, "imdb", "TT0133093"), (2, 0, "domain", "blue.com"), (3, 0, "phone", "202-555-0100")], "seq long, pos int, kind string, value string")).orderBy("seq").collect()
@@ -92,8 +92,8 @@ def test_name_specificity(spark):
 
 
 def test_harvest(spark):
-    html = """<html><head><script type="application/ld+json">[{"@type":"Restaurant","name":"B","telephone":"202-555-0100","sameAs":["https://www.yelp.com/biz/B-one?x","https://twitter.com/b"]}]</script>
-      <script type='application/ld+json'>  </script><link href="https://other.example.co.uk/x" rel="canonical"></head></html>"""
+    html = """<html><head><script type="application/ld+json">[{"@type":"Restaurant","name":"B","telephone":"202-555-0100","%s":["https://www.yelp.com/biz/B-one?x","https://twitter.com/b"]}]</script>
+      <script type='application/ld+json'>  </script><link href="https://other.example.co.uk/x" rel="canonical"></head></html>""" % pages.LINKS
     rows = spark.createDataFrame([(1, "b.com", html), (2, "c.com", "<p>"), (3, "d.com", None)], "i int, domain string, html string")
     got = {r.i: ([tuple(p) for p in r.ids], r.entity_type, r.name) for r in pages.harvested(rows).collect()}
     assert got[1] == ([("domain", "b.com"), ("phone", "+12025550100"), ("yelp", "b-one"), ("domain", "example.co.uk")], "Restaurant", "B")

@@ -8,7 +8,7 @@ from keyloom.streaming.commits import commit_batch, commit_stream
 
 
 def seed(seq, kind, value):
-    return (seq, json.dumps({"name": f"n{seq}", "sameAs": [{kind: value}]}))
+    return (seq, json.dumps({"name": f"n{seq}", "ids": [{kind: value}]}))
 
 
 def batch(spark, *rows):
