@@ -196,12 +196,9 @@ def _first(runs: str, width: int, edits: int, n: str) -> str:
 
 def run_keys(edits: int, telling: str, n: str) -> str:
     """SQL for the keys of the telling words of a line of ``n`` words."""
-    three = _let(_beside(telling, 1, "xxhash64(p, q)"), "two", _first(_beside_two("two", telling), RUN, edits, n))
-    return f"if(size({telling}) < {RUN}, array(), {three})"
-
-
-def _beside_two(two: str, words: str) -> str:
-    return f"zip_with(slice({two}, 1, size({two}) - 1), slice({words}, 3, size({words}) - 2), (p, q) -> xxhash64(p, q))"
+    moved = ", ".join(f"slice({telling}, {1 + i}, size({telling}) - {RUN - 1})" for i in range(RUN))
+    runs = f"transform(arrays_zip({moved}), run -> xxhash64(run))"  # one pass over the words
+    return f"if(size({telling}) < {RUN}, array(), {_first(runs, RUN, edits, n)})"
 
 
 def needs_grams(edits: int, telling: str, n: str) -> str:
@@ -244,31 +241,42 @@ def words_within_sql(x: str = "x", y: str = "y") -> str:
     return f"if(least({m}, {n}) >= {LEAST_WORDS}, {_let(most, 't', near)}, false)"
 
 
+def _least_long(edits: int) -> int:
+    """The fewest words of a line that meets others by runs: a partner of one of ``LONG`` words may have so few."""
+    return LONG - (SPOILT - 1) * edits
+
+
+def _most_short(edits: int) -> int:
+    """Lines of fewer words meet others by segments of characters."""
+    return max(LONG, 2 * (SPOILT + GRAM - 1) * edits)
+
+
 def line_keys(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``lines`` (line, and any others) with h, id, what a pair is judged by, and the keys.
+    """``lines`` (line, and any others) with h, id, n_words, and the keys.
 
-    ``met`` are keys for both sides; ``short`` is the line where it meets others by segments of characters. ``n_words``,
-    ``words`` and ``chars`` are parities: which of 64 classes of words, and of characters (of short
-    lines), occur an odd number of times.
+    ``met`` are keys for both sides; ``short`` is the line where it meets others by segments of characters.
     """
-    near, least = f"n >= {least_chars}", LONG - (SPOILT - 1) * edits  # a partner of a long line may have so few words
-    short = f"{near} and n_words < {max(LONG, 2 * (SPOILT + GRAM - 1) * edits)}"
-    halves = f"if({near} and n_words >= {LEAST_WORDS} and n_words < {LONG}, {half_keys('w')}, array())"
-    runs = f"if({near} and n_words >= {least}, {run_keys(edits, 'telling', 'n_words')}, array())"
-    grams = f"if({near} and n_words >= {least} and w is not null, {gram_keys(edits, 'w', 'n_words')}, array())"
-    parity = lambda items, number: f"aggregate({items}, 0L, (s, x) -> s ^ shiftleft(1L, cast({number} & 63 as int)))"
+    near, least = f"n >= {least_chars}", _least_long(edits)
+    short = f"{near} and n_words < {_most_short(edits)}"
+    halves = f"if({near} and n_words >= {LEAST_WORDS} and n_words < {LONG}, {half_keys('parts')}, array())"
+    runs = f"if(telling is not null, {run_keys(edits, 'telling', 'n_words')}, array())"
+    grams = f"if(telling is not null and {needs_grams(edits, 'telling', 'n_words')}, {gram_keys(edits, 'parts', 'n_words')}, array())"
     rows = lines.select("*", F.xxhash64("line").alias("h"), _digest("line").alias("id"), F.length("line").alias("n"), F.expr(split_sql()).alias("parts"))
-    rows = rows.selectExpr("*", "size(parts) n_words", f"transform(filter(parts, x -> length(x) >= {TELLING}), x -> xxhash64(x)) telling")
-    rows = rows.selectExpr("*", f"if(n_words < {LONG} or {needs_grams(edits, 'telling', 'n_words')}, transform(parts, x -> xxhash64(x)), null) w")
+    rows = rows.selectExpr("*", "size(parts) n_words")
+    rows = rows.selectExpr("*", f"if({near} and n_words >= {least}, filter(parts, x -> length(x) >= {TELLING}), null) telling")
     given = [c for c in lines.columns if c != "line"]
-    return rows.selectExpr(
-        *given, "h", "id", "n_words", f"if({near}, {parity('parts', 'xxhash64(x)')}, null) words", f"if({short}, {parity(SPLIT, 'ascii(x)')}, null) chars",
-        f"concat({halves}, {runs}, {grams}) met", f"if({short}, line, null) short",
-    )
+    return rows.selectExpr(*given, "h", "id", "n_words", f"concat({halves}, {runs}, {grams}) met", f"if({short}, line, null) short")
+
+
+def parities(texts: DataFrame, edits: int) -> DataFrame:
+    """(h, words, chars) of ``texts`` (h, line): which of 64 classes of words, and of characters (of short lines), occur an odd number of times."""
+    parity = lambda items, number: f"aggregate({items}, 0L, (s, x) -> s ^ shiftleft(1L, cast({number} & 63 as int)))"
+    rows = texts.selectExpr("h", "line", f"{split_sql()} parts")
+    rows = rows.selectExpr("h", f"{parity('parts', 'xxhash64(x)')} words", f"if(size(parts) < {_most_short(edits)}, {parity(SPLIT, 'ascii(x)')}, null) chars")
+    return rows.groupBy("h").agg(F.max("words").alias("words"), F.max("chars").alias("chars"))
 
 
 SPLIT = "split(line, '')"
-JUDGED = ["n_words", "words", "chars"]
 
 
 def _array(items: list[str]) -> str:
@@ -276,35 +284,35 @@ def _array(items: list[str]) -> str:
 
 
 def _lists(keys: DataFrame, edits: int) -> DataFrame:
-    """(key, h, own, by_chars, n, and what pairs are judged by): the lines of each key that more than one has.
+    """(key, h, own, by_chars, n, n_words): the lines of each key that more than one has.
 
     ``own``: by a key of its own, not by a probe alone; ``by_chars``: the key is one of characters; ``n``: how
     often the line occurs, in the lists of its own keys. Counting is partial first, so a key or a line that is everywhere is no hot one.
     """
     members = []
-    judged = [F.max(c).alias(c) for c in JUDGED]
+    judged = F.max("n_words").alias("n_words")
     kind = lambda own, by_chars: [F.lit(own).alias("own"), F.lit(by_chars).alias("by_chars")]
     short = keys.filter("short is not null").withColumn("n", F.length("short"))
     for by_chars in (False, True):
-        rows = (short if by_chars else keys).select("h", *JUDGED, F.expr(f"explode({_array(index_keys(edits, 'short'))})" if by_chars else "explode(met)").alias("key"))
+        rows = (short if by_chars else keys).select("h", "n_words", F.expr(f"explode({_array(index_keys(edits, 'short'))})" if by_chars else "explode(met)").alias("key"))
         ends = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
         if by_chars:
             ends = stored(ends, "index")
             # each distinct line probes once, however often it occurs
-            once = short.groupBy("h", "short", "n").agg(*judged)
-            probes = once.select("h", *JUDGED, F.expr(f"explode({_array(probe_keys(edits, 'short'))})").alias("key")).filter("key is not null")
+            once = short.groupBy("h", "short", "n").agg(judged)
+            probes = once.select("h", "n_words", F.expr(f"explode({_array(probe_keys(edits, 'short'))})").alias("key")).filter("key is not null")
             hits = stored(probes.join(ends, "key").filter("low <> h or high <> h").drop("low", "high"), "hits")
-            members.append(hits.select("key", "h", *kind(False, True), F.lit(1).cast("long").alias("n"), *JUDGED))
+            members.append(hits.select("key", "h", *kind(False, True), F.lit(1).cast("long").alias("n"), "n_words"))
             shared = stored(ends.filter("low <> high").select("key").union(hits.select("key")).distinct(), "shared")
             discard(ends)
         else:
             shared = stored(ends.filter("low <> high").select("key"), "shared")
         again = rows.join(small(shared, MOST_BROADCAST), "key", "left_semi")
-        members.append(again.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), *judged).select("key", "h", *kind(True, by_chars), "n", *JUDGED))
+        members.append(again.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), judged).select("key", "h", *kind(True, by_chars), "n", "n_words"))
     every = members[0]
     for m in members[1:]:
         every = every.unionByName(m)
-    return stored(every.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("by_chars").alias("by_chars"), F.max("n").alias("n"), *judged), "lists")
+    return stored(every.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("by_chars").alias("by_chars"), F.max("n").alias("n"), judged), "lists")
 
 
 def _possible(edits: int, words: str = "bit_count(x.words ^ y.words)") -> str:
@@ -338,12 +346,14 @@ def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> D
     ``keys`` is what :func:`line_keys` gives for ``lines`` (line).
     """
     lists = _lists(keys, edits)
+    texts = stored(_texts(lines, lists.select("h")), "texts")
+    judged = stored(lists.join(parities(texts, edits), "h"), "judged")
+    discard(lists)
+    lists = judged
     pair = [F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("g")]
-    centres = lists.filter("own").groupBy("key").agg(F.max(F.struct("n", "h", "by_chars", *JUDGED)).alias("c")).select("key", "c.*").alias("x")
+    centres = lists.filter("own").groupBy("key").agg(F.max(F.struct("n", "h", "by_chars", "n_words", "words", "chars")).alias("c")).select("key", "c.*").alias("x")
     stars = stored(centres.join(lists.alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {_possible(edits)}")).select(*pair).distinct(), "stars")
-    texts = stored(_texts(lines, stars.select(F.explode(F.array("h", "g")).alias("h"))), "texts")
     links = _verified(stars, texts, edits)
-    discard(texts)
     components = connected_components(links.select("h", "g"), "h", "g")
     named = lists.join(components, F.col("h") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "h"))
     named = stored(named, "named")
@@ -356,13 +366,14 @@ def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> D
     partner = F.expr(f"x.key = y.key and x.component <> y.component and (x.own or y.own) and {_possible(edits)}")
     some = stored(apart.alias("x").join(apart.alias("y"), partner, "left_semi").select("h"), "some")
     fine = [f"aggregate(filter(w, x -> (shiftright(x, 6) & {len(FINE) - 1}) = {i}), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int))) {name}" for i, name in enumerate(FINE)]
-    texts = stored(_texts(lines, some).selectExpr("h", "line", f"{words_sql()} w").selectExpr("h", "line", *fine), "texts")
-    known = apart.join(texts.select("h", *FINE), "h")
+    closest = texts.join(small(some.distinct(), MOST_BROADCAST), "h", "left_semi").selectExpr("h", f"{words_sql()} w").selectExpr("h", *fine)
+    closest = stored(closest.groupBy("h").agg(*(F.max(name).alias(name) for name in FINE)), "closest")
+    known = apart.join(closest, "h")
     closer = " + ".join(f"bit_count(x.{name} ^ y.{name})" for name in FINE)
     pairs = known.filter("own").alias("x").join(known.alias("y"), F.expr(f"{met} and {_possible(edits)} and {_possible(edits, f'({closer})')}"))
     rest = stored(pairs.select(*pair).distinct().join(stars, ["h", "g"], "left_anti"), "rest")
     more = _verified(rest, texts, edits)
-    discard(apart, some, texts, rest, stars)
+    discard(apart, some, closest, texts, rest, stars)
     return links.unionByName(more).select("a", "b")
 
 
