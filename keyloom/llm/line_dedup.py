@@ -268,9 +268,13 @@ def line_keys(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     return rows.selectExpr(*given, "h", "id", "n_words", f"concat({halves}, {runs}, {grams}) met", f"if({short}, line, null) short")
 
 
+def parity(items: str, number: str) -> str:
+    """SQL: which of 64 classes of the items of an array, by a number of each item x, occur an odd number of times."""
+    return f"aggregate({items}, 0L, (s, x) -> s ^ shiftleft(1L, cast({number} & 63 as int)))"
+
+
 def parities(texts: DataFrame, edits: int) -> DataFrame:
     """(h, words, chars) of ``texts`` (h, line): which of 64 classes of words, and of characters (of short lines), occur an odd number of times."""
-    parity = lambda items, number: f"aggregate({items}, 0L, (s, x) -> s ^ shiftleft(1L, cast({number} & 63 as int)))"
     rows = texts.selectExpr("h", "line", f"{split_sql()} parts")
     rows = rows.selectExpr("h", f"{parity('parts', 'xxhash64(x)')} words", f"if(size(parts) < {_most_short(edits)}, {parity(SPLIT, 'ascii(x)')}, null) chars")
     return rows.groupBy("h").agg(F.max("words").alias("words"), F.max("chars").alias("chars"))
@@ -315,13 +319,17 @@ def _lists(keys: DataFrame, edits: int) -> DataFrame:
     return stored(every.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("by_chars").alias("by_chars"), F.max("n").alias("n"), judged), "lists")
 
 
-def _possible(edits: int, words: str = "bit_count(x.words ^ y.words)") -> str:
-    """SQL: may the lines x and y, which share a key, be linked? A word replaced flips two parities of ``words`` at most, one removed or inserted one."""
-    allowed = word_edits_sql("greatest(x.n_words, y.n_words)")
-    flips = (SPOILT + 1) * edits
-    by_chars = f"{words} <= {flips} and bit_count(x.chars ^ y.chars) <= {2 * edits}"
-    most = f"if(least(x.n_words, y.n_words) >= {LONG - (SPOILT - 1) * edits}, greatest({allowed}, {-(-flips // 2)}), {allowed})"
-    return f"if(x.by_chars, {by_chars}, abs(x.n_words - y.n_words) <= {most} and {words} <= 2 * {most} - abs(x.n_words - y.n_words))"
+def _possible(edits: int, words: str = "bit_count(x.words ^ y.words)", by_edits: str = "true") -> str:
+    """SQL: may the lines x and y, which share a key, be linked?
+
+    A word replaced flips two parities of ``words`` at most, one removed or inserted one; an edit of a character flips
+    SPOILT + 1 of words and two of characters. ``by_edits``: what else holds for long lines within ``edits`` edits.
+    """
+    allowed, more = word_edits_sql("greatest(x.n_words, y.n_words)"), "abs(x.n_words - y.n_words)"
+    few = f"{words} <= {(SPOILT + 1) * edits}"
+    by_words = f"{more} <= {allowed} and {words} <= 2 * {allowed} - {more}"
+    long = f"least(x.n_words, y.n_words) >= {_least_long(edits)} and {more} <= {(SPOILT - 1) * edits} and {few} and {by_edits}"
+    return f"if(x.by_chars, {few} and bit_count(x.chars ^ y.chars) <= {2 * edits}, ({by_words}) or ({long}))"
 
 
 FINE = [f"fine{i}" for i in range(8)]
@@ -366,11 +374,13 @@ def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> D
     partner = F.expr(f"x.key = y.key and x.component <> y.component and (x.own or y.own) and {_possible(edits)}")
     some = stored(apart.alias("x").join(apart.alias("y"), partner, "left_semi").select("h"), "some")
     fine = [f"aggregate(filter(w, x -> (shiftright(x, 6) & {len(FINE) - 1}) = {i}), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int))) {name}" for i, name in enumerate(FINE)]
-    closest = texts.join(small(some.distinct(), MOST_BROADCAST), "h", "left_semi").selectExpr("h", f"{words_sql()} w").selectExpr("h", *fine)
-    closest = stored(closest.groupBy("h").agg(*(F.max(name).alias(name) for name in FINE)), "closest")
+    closest = texts.join(small(some.distinct(), MOST_BROADCAST), "h", "left_semi").selectExpr("h", "length(line) long", f"{parity(SPLIT, 'ascii(x)')} letters", f"{words_sql()} w")
+    closest = closest.selectExpr("h", "long", "letters", *fine).groupBy("h").agg(*(F.max(name).alias(name) for name in ("long", "letters", *FINE)))
+    closest = stored(closest, "closest")
     known = apart.join(closest, "h")
+    alike = f"abs(x.long - y.long) <= {edits} and bit_count(x.letters ^ y.letters) <= {2 * edits}"
     closer = " + ".join(f"bit_count(x.{name} ^ y.{name})" for name in FINE)
-    pairs = known.filter("own").alias("x").join(known.alias("y"), F.expr(f"{met} and {_possible(edits)} and {_possible(edits, f'({closer})')}"))
+    pairs = known.filter("own").alias("x").join(known.alias("y"), F.expr(f"{met} and {_possible(edits)} and {_possible(edits, f'({closer})', alike)}"))
     rest = stored(pairs.select(*pair).distinct().join(stars, ["h", "g"], "left_anti"), "rest")
     more = _verified(rest, texts, edits)
     discard(apart, some, closest, texts, rest, stars)
