@@ -148,7 +148,7 @@ def split_sql(line: str = "line") -> str:
     pattern = f"[{UNSPACED}]|[^\\s{UNSPACED}]+".replace("\\", "\\\\")
     plain = f"array_remove(split({line}, ' '), '')"  # most lines: single characters are cut without a pattern
     spaces = " or ".join(rf"contains({line}, '{c}')" for c in (r"\t", r"\u000b", r"\u000c", r"\r", r"\n"))
-    odd = f"if(octet_length({line}) = length({line}), {spaces}, {line} rlike '[\\\\t\\\\x0b\\\\f\\\\r\\\\n{UNSPACED.replace(chr(92), chr(92) * 2)}]')"
+    odd = f"if(octet_length({line}) = length({line}), {spaces}, {line} rlike '[\\\\t-\\\\r\\\\u0e00-\\\\u0e7f\\\\u3040-\\\\x{{10ffff}}]')"  # all of UNSPACED, in few ranges
     return f"if({odd}, regexp_extract_all({line}, '{pattern}', 0), {plain})"
 
 
@@ -194,11 +194,14 @@ def _first(runs: str, width: int, edits: int, n: str) -> str:
     return f"slice(sort_array(array_distinct({runs})), 1, greatest({(SPOILT + width - 1) * edits}, {width} * {_most_edits(n)}) + 1)"
 
 
+def _runs(words: str, width: int) -> str:
+    """SQL for the hashes of all runs of ``width`` words, in one pass; there must be so many words."""
+    return f"transform(arrays_zip({', '.join(f'slice({words}, {1 + i}, size({words}) - {width - 1})' for i in range(width))}), run -> xxhash64(run))"
+
+
 def run_keys(edits: int, telling: str, n: str) -> str:
     """SQL for the keys of the telling words of a line of ``n`` words."""
-    moved = ", ".join(f"slice({telling}, {1 + i}, size({telling}) - {RUN - 1})" for i in range(RUN))
-    runs = f"transform(arrays_zip({moved}), run -> xxhash64(run))"  # one pass over the words
-    return f"if(size({telling}) < {RUN}, array(), {_first(runs, RUN, edits, n)})"
+    return f"if(size({telling}) < {RUN}, array(), {_first(_runs(telling, RUN), RUN, edits, n)})"
 
 
 def needs_grams(edits: int, telling: str, n: str) -> str:
@@ -209,7 +212,7 @@ def needs_grams(edits: int, telling: str, n: str) -> str:
 
 def gram_keys(edits: int, words: str, n: str) -> str:
     """SQL for the keys of all words of a line."""
-    return _grams(words, _first("{}", GRAM, edits, n))
+    return _first(_runs(words, GRAM), GRAM, edits, n)
 
 
 def words_within_sql(x: str = "x", y: str = "y") -> str:
