@@ -41,6 +41,7 @@ EDITS, LEAST_CHARS = 2, 24
 LEAST_WORDS, WORDS_AN_EDIT, LONG = 10, 20, 40
 GRAM, RUN, TELLING = 4, 3, 6  # GRAM is a power of 2
 SPOILT = 3  # words that one character edit can spoil: a character that is a word by itself goes between two others
+SPOILT_TELLING = 2  # telling ones among them: that character is none
 UNSPACED = r"\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"  # each character is a word
 BLOCK, LONGEST_BIT = 8, 30  # columns of the table at a time; strings have fewer than 2**31 characters
 MOST_BROADCAST = 1_000_000  # rows of two numbers
@@ -67,19 +68,23 @@ def index_keys(edits: int, line: str = "line", n: str = "n") -> list[str]:
     return out
 
 
-def probe_keys(edits: int, line: str = "line", n: str = "n") -> list[str]:
-    """SQL for the probe keys of a line beside its index keys, for partners as long or shorter by up to ``edits``."""
-    out = []
-    for d in range(edits + 1):
-        partner = f"({n} - {d})"
-        for k in range(edits + 1):
-            start, size = _segment(k, edits + 1, partner)
-            low, high = max(-k, d - (edits - k)), min(k, d + (edits - k))
-            for move in range(low, high + 1):
-                if d == move == 0:
-                    continue  # its own index key
-                out.append(f"if({start} + {move} between 1 and {n} - {size} + 1, xxhash64({k}, {partner}, substring({line}, {start} + {move}, {size})), null)")
-    return out
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(segment k, d, move): where a line looks for segment k of a line shorter by d, moved by so many characters; its own index keys aside."""
+    moves = [(k, d, range(max(-k, d - (edits - k)), min(k, d + (edits - k)) + 1)) for d in range(edits + 1) for k in range(edits + 1)]
+    return [(k, d, move) for k, d, every in moves for move in every if d or move]
+
+
+def probe_keys(lines: DataFrame, edits: int, line: str = "line", n: str = "n") -> DataFrame:
+    """``lines`` without ``line`` and ``n``, by ``key``: the probe keys of each line, for partners as long or shorter by up to ``edits``.
+
+    One row a probe and one expression for all of them: a method of all probes at once is too long for the JVM to compile.
+    """
+    given = [c for c in lines.columns if c not in (line, n)]
+    every = ", ".join(f"named_struct('k', {k}, 'd', {d}, 'move', {move})" for k, d, move in probes(edits))
+    start, size = _segment("__p.k", edits + 1, f"({n} - __p.d)")
+    rows = lines.selectExpr("*", f"explode(array({every})) __p").selectExpr("*", f"cast({start} + __p.move as int) __start", f"cast({size} as int) __size")
+    rows = rows.filter(f"__start between 1 and {n} - __size + 1")
+    return rows.selectExpr(*given, f"xxhash64(__p.k, {n} - __p.d, substring({line}, __start, __size)) key")
 
 
 def distance_sql(edits: int, x: str = "x", y: str = "y") -> str:
@@ -189,30 +194,34 @@ def _most_edits(n: str) -> str:
     return word_edits_sql(f"({n} * {WORDS_AN_EDIT} div {WORDS_AN_EDIT - 1})")
 
 
-def _first(runs: str, width: int, edits: int, n: str) -> str:
-    """SQL for the first of an array of runs of ``width`` words: as many as edits can spoil, and one."""
-    return f"slice(sort_array(array_distinct({runs})), 1, greatest({(SPOILT + width - 1) * edits}, {width} * {_most_edits(n)}) + 1)"
+def _spoilt(width: int, words: int, edits: int, n: str) -> str:
+    """SQL for the runs of ``width`` words of a line that edits can spoil; an edit of a character spoils so many words, and with them the runs over their place."""
+    return f"greatest({(words + width - 1) * edits}, {width} * {_most_edits(n)})"
+
+
+def _first(runs: str, spoilt: str) -> str:
+    """SQL for the first of an array of runs: as many as edits can spoil, and one."""
+    return f"slice(sort_array(array_distinct({runs})), 1, {spoilt} + 1)"
 
 
 def _runs(words: str, width: int) -> str:
     """SQL for the hashes of all runs of ``width`` words, in one pass; there must be so many words."""
-    return f"transform(arrays_zip({', '.join(f'slice({words}, {1 + i}, size({words}) - {width - 1})' for i in range(width))}), run -> xxhash64(run))"
+    return f"transform(slice({words}, 1, size({words}) - {width - 1}), (w, i) -> xxhash64(w, {', '.join(f'{words}[i + {k}]' for k in range(1, width))}))"
 
 
 def run_keys(edits: int, telling: str, n: str) -> str:
     """SQL for the keys of the telling words of a line of ``n`` words."""
-    return f"if(size({telling}) < {RUN}, array(), {_first(_runs(telling, RUN), RUN, edits, n)})"
+    return f"if(size({telling}) < {RUN}, array(), {_first(_runs(telling, RUN), _spoilt(RUN, SPOILT_TELLING, edits, n))})"
 
 
 def needs_grams(edits: int, telling: str, n: str) -> str:
     """SQL: may a line of ``n`` words, or a partner of it, have too few telling words to share a run of them?"""
-    spoilt = f"greatest({(SPOILT + RUN - 1) * edits}, {RUN} * {_most_edits(n)})"
-    return f"size({telling}) <= {spoilt} + {RUN - 1} + greatest({SPOILT * edits}, {_most_edits(n)})"
+    return f"size({telling}) <= {_spoilt(RUN, SPOILT_TELLING, edits, n)} + {RUN - 1} + greatest({SPOILT_TELLING * edits}, {_most_edits(n)})"
 
 
 def gram_keys(edits: int, words: str, n: str) -> str:
     """SQL for the keys of all words of a line."""
-    return _first(_runs(words, GRAM), GRAM, edits, n)
+    return _first(_runs(words, GRAM), _spoilt(GRAM, SPOILT, edits, n))
 
 
 def words_within_sql(x: str = "x", y: str = "y") -> str:
@@ -307,8 +316,7 @@ def _lists(keys: DataFrame, edits: int) -> DataFrame:
             ends = stored(ends, "index")
             # each distinct line probes once, however often it occurs
             once = short.groupBy("h", "short", "n").agg(judged)
-            probes = once.select("h", "n_words", F.expr(f"explode({_array(probe_keys(edits, 'short'))})").alias("key")).filter("key is not null")
-            hits = stored(probes.join(ends, "key").filter("low <> h or high <> h").drop("low", "high"), "hits")
+            hits = stored(probe_keys(once, edits, "short").hint("merge").join(ends, "key").filter("low <> h or high <> h").drop("low", "high"), "hits")
             members.append(hits.select("key", "h", *kind(False, True), F.lit(1).cast("long").alias("n"), "n_words"))
             shared = stored(ends.filter("low <> high").select("key").union(hits.select("key")).distinct(), "shared")
             discard(ends)
@@ -362,7 +370,9 @@ def connecting_links(lines: DataFrame, keys: DataFrame, edits: int = EDITS) -> D
     discard(lists)
     lists = judged
     pair = [F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("g")]
-    centres = lists.filter("own").groupBy("key").agg(F.max(F.struct("n", "h", "by_chars", "n_words", "words", "chars")).alias("c")).select("key", "c.*").alias("x")
+    # the most frequent line, then by hash; one number as the order and no struct, so that this needs no sorting
+    rank = F.expr("shiftleft(least(n, 1048575L), 43) | shiftrightunsigned(h, 21)")
+    centres = lists.filter("own").groupBy("key").agg(*(F.max_by(c, rank).alias(c) for c in ("h", "by_chars", "n_words", "words", "chars"))).alias("x")
     stars = stored(centres.join(lists.alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {_possible(edits)}")).select(*pair).distinct(), "stars")
     links = _verified(stars, texts, edits)
     components = connected_components(links.select("h", "g"), "h", "g")
@@ -401,8 +411,10 @@ def first_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = connected_components(connecting_links(lines.filter(F.length("line") >= least_chars), keys, edits))
     firsts = stored(keys.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "firsts")
     discard(keys)
-    named = firsts.join(classes, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("id"), "at")
-    return named.groupBy("id").agg(F.min("at").alias("at")).select("at.doc_id", "at.line_no")
+    linked = small(stored(classes, "classes"), MOST_BROADCAST)
+    alone = firsts.join(linked, F.col("id") == F.col("node"), "left_anti")
+    named = firsts.join(linked, F.col("id") == F.col("node")).groupBy("component").agg(F.min("at").alias("at"))
+    return alone.select("at.doc_id", "at.line_no").unionByName(named.select("at.doc_id", "at.line_no"))
 
 
 def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS, least_exact: int | None = None) -> DataFrame:
@@ -419,10 +431,11 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     if least_chars <= edits + 1:
         raise ValueError("lines must be longer than the edits allowed")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kept = first_lines(docs, edits=edits, least_chars=least_chars, least_exact=least_exact).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("firsts"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("all", F.split("text", "\n", -1))
+    kept = first_lines(docs, edits=edits, least_chars=least_chars, least_exact=least_exact).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line_no").alias("firsts"))
+    # the texts are not sorted: each task looks its documents up in its share of the places
+    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("all", F.split("text", "\n", -1))
     firsts = F.coalesce("firsts", F.array().cast("array<int>"))
-    taken = F.filter("all", lambda x, i: (F.length(x) < _least_exact(least_chars, least_exact)) | ~x.rlike(r"\S") | F.array_contains(firsts, i))
+    taken = F.filter("all", lambda x, i: F.array_contains(firsts, i) | (F.length(x) < _least_exact(least_chars, least_exact)) | ~x.rlike(r"\S"))
     rows = rows.withColumn("kept", taken)
     n = F.coalesce(F.size("all"), F.lit(0))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

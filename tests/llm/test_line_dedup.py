@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import line_dedup as L
 
 
@@ -105,3 +107,37 @@ def test_long_lines_with_a_changed_word(spark):
     docs = [(1, " ".join(text)), (2, other), (3, unspaced), (4, unspaced[:30] + "漢字漢字"[:4] + unspaced[34:])]
     got = {r.doc_id: r.n_dropped for r in L.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_probes_are_compiled_and_whole(spark):
+    """The JVM never compiles a method of more than 8,000 bytes; and no place of a segment is left out."""
+    random.seed(14)
+    line = "".join(random.choices("abcdefgh ", k=50))
+    df = spark.createDataFrame([(1, line, len(line))], "h long, line string, n int")
+    probes = L.probe_keys(df, L.EDITS)
+    text = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(probes._jdf.queryExecution().executedPlan())
+    assert max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+    got = {r.key for r in probes.collect()} | set(df.select(F.expr(f"explode({L._array(L.index_keys(L.EDITS))}) key")).toPandas()["key"])
+    shorter = [(line[:i] + line[i + 1 :])[:j] + c + (line[:i] + line[i + 1 :])[j + k :] for i in range(50) for j in range(0, 49, 3) for k, c in ((1, ""), (1, "z"))]
+    other = spark.createDataFrame([(x, len(x)) for x in {*shorter}], "line string, n int")
+    keys = other.select("line", F.expr(f"{L._array(L.index_keys(L.EDITS))} keys")).collect()
+    assert len(keys) > 500 and all(got & set(r["keys"]) for r in keys)
+
+
+def test_runs_as_many_as_edits_can_spoil(spark):
+    """Two characters spoil at most eight runs of telling words: a ninth is not needed, and nine are enough."""
+    random.seed(15)
+    base = [[random.choice(WORDS) + random.choice(WORDS) for _ in range(n)] for n in (40, 43, 50) for _ in range(4)]
+    pairs = []
+    for words in base:
+        for _ in range(40):
+            text = " ".join(words)
+            for _ in range(2):
+                i = random.randrange(1, len(text) - 1)
+                place = random.choice([m.start() for m in re.finditer(" ", text)])
+                text = random.choice([text[:place] + text[place + 1 :], text[:i] + " " + text[i:], text[:i] + "\u4e00" + text[i:], text[:place] + "\u4e00" + text[place + 1 :], text[:i] + "x" + text[i + 1 :]])
+            pairs.append((" ".join(words), text))
+    lines = spark.createDataFrame([(x,) for x in {x for p in pairs for x in p}], "line string")
+    met = {r.line: set(r.met) for r in L.line_keys(lines.withColumn("text", F.col("line"))).select(F.col("text").alias("line"), "met").collect()}
+    assert all(len(met[" ".join(words)]) == 9 for words in base)
+    assert all(met[a] & met[b] for a, b in pairs)
