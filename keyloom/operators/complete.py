@@ -31,6 +31,9 @@ def complete(batch: Batch, table: DataFrame, s: Snapshot, *, hops: int = HOPS) -
     after each hop, since a commit may merge them into another entity.
     """
     spark = batch.ids.sparkSession
+    batch = replace(batch, ids=stored(batch.ids, "batch"))  # normalized once, and so are the signatures of the answers
+    batch = replace(batch, records=stored(batch.records, "batch-records"))
+    table = stored(table, "answers")
     now = settled(resolve_exact(batch, s.clusters))
     seeds = now.outcomes
     at = batch.ids.filter("strong").groupBy("seq").agg(F.min_by("key", "pos").alias("key"))
