@@ -37,7 +37,8 @@ BITS = 20
 CHUNK = 4096
 CROWD, PER_ENTRY, PIVOTS = 4, 2, 2  # a region of more than CROWD entries and PER_ENTRY pairs for each is joined to PIVOTS pivots first
 ENTRY = np.dtype([("s", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4")])
-ENTRIES_A_TASK = 2_000_000
+ENTRIES_A_TASK = 500_000  # of 24 bytes; a task holds and sorts them in several copies, two tasks beside a full heap
+MOST_PAIRS = 500_000  # that a task holds before it hands them on
 MOST_BROADCAST = 1_000_000  # ids
 TILE = 2048  # texts of one block of candidates
 U = np.uint64
@@ -168,6 +169,11 @@ def _prefixes(docs: DataFrame, ranks, width: int, bits: int, numer: int, denom:
     return arrow_map(docs.select("text"), run, "part int, entries binary")
 
 
+def _dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """``columns`` of ``df``, each part in the task of its number: hashed numbers would leave some tasks several times the usual load."""
+    return df.repartitionById(tasks, F.col("part")).select(*columns)
+
+
 def _fits(n, m, i, j, numer: int, denom: int):
     """May two sets that meet at places i and j, and nowhere before, be linked?"""
     small, large = np.minimum(n, m), np.maximum(n, m)
@@ -336,7 +342,7 @@ def _met(packed: DataFrame, tasks: int, enough=None) -> DataFrame:
             own = own[enough(own)]
         yield pa.RecordBatch.from_arrays([*_ints(own["fa"], own["na"], own["fb"], own["nb"], own["met"]), pa.array(own["fit"])], names=["fp_a", "n_a", "fp_b", "n_b", "met", "fit"])
 
-    return arrow_map(packed.select("part", "packed").repartition(tasks, "part").select("packed"), run, f"{PAIR}, met long, fit boolean")
+    return arrow_map(_dealt(packed.select("part", "packed"), tasks, "packed"), run, f"{PAIR}, met long, fit boolean")
 
 
 def _least_sql(numer: int, denom: int) -> str:
@@ -376,14 +382,12 @@ def _members(crowds: DataFrame) -> DataFrame:
     return arrow_map(crowds.select("packed"), run, "s long, fp long, n long, pos long")
 
 
-def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int = 512) -> DataFrame:
+def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int = 512, most: int = MOST_PAIRS) -> DataFrame:
     """Candidate pairs of different components, region by region (s, fp, n, pos, component, other).
 
     Pairs that also met in regions that are not joined again were judged before; ``other`` bounds
     how many crowded ones of these a set has, so met + other must reach ``least_meetings`` here too.
     """
-    parts = 8 * tasks
-
     def pairs(rows: np.ndarray, comp: np.ndarray, other: np.ndarray):
         for a in range(0, len(rows), block):
             for b in range(a, len(rows), block):
@@ -408,14 +412,21 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
                 rows["s"], rows["fp"], rows["n"], rows["pos"] = s.astype(np.uint64), fp.astype(np.uint64), n, pos
                 yield from pairs(rows, comp, other)
 
+        def handed(own: np.ndarray):
+            out = _packed(own, tasks)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "packed"])
+
         def ended():
             nonlocal found, n_found
             for out in region():
                 found.append(out)
                 n_found += len(out)
-                if n_found > 1_000_000:
-                    found = [_summed(np.concatenate(found))]
-                    n_found = 0
+                if n_found > most:
+                    own = _summed(np.concatenate(found))
+                    found, n_found = [own], len(own)
+                    if 2 * len(own) > most:  # the rest of the sum is the reader's
+                        yield handed(own)
+                        found, n_found = [], 0
 
         for batch in batches:
             s, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -424,14 +435,13 @@ def _between(members: DataFrame, numer: int, denom: int, tasks: int, block: int
             cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and held[-1][0][0] != s[a]:
-                    ended()
+                    yield from ended()
                     held = []
                 held.append((s[a:b], *(c[a:b] for c in rest)))
         if held:
-            ended()
+            yield from ended()
         if found:
-            out = _packed(_summed(np.concatenate(found)), parts)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "packed"])
+            yield handed(_summed(np.concatenate(found)))
 
     def enough(p: np.ndarray) -> np.ndarray:
         n, m = p["na"].astype(np.int64), p["nb"].astype(np.int64)
@@ -509,8 +519,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     entries = rows.agg(F.sum(F.expr(f"n - ceil({numer} * n / {denom}) + 1"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // ENTRIES_A_TASK))
-    prefixes = _prefixes(docs.filter("doc_id is not null"), ranks, width, bits, numer, denom, 8 * tasks)
-    found = stored(_regions(prefixes.repartition(tasks, "part").select("entries"), numer, denom, 8 * tasks), "regions")
+    prefixes = _prefixes(docs.filter("doc_id is not null"), ranks, width, bits, numer, denom, tasks)
+    found = stored(_regions(_dealt(prefixes, tasks, "entries"), numer, denom, tasks), "regions")
 
     links = _links(_candidates(found, numer, denom, tasks), reps, docs, width, numer, denom)
     components = connected_components(links)
